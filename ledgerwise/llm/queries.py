@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, packing, ring, setsketch, tokenfile
+from . import decontam, lm, packing, ring, setsketch, tokenfile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontam.contaminated().alias("contaminated"))
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), lm.split_of("doc_id", 7) == 2)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = ring.assign(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -36,7 +40,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op6_sharding, op7_packing, op8_near_dedup, op10_token_files)}
+    return {f.__name__: f for f in (op1_decontamination, op3_lm_scores, op6_sharding, op7_packing, op8_near_dedup, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
