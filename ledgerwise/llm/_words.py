@@ -73,6 +73,12 @@ class Words:
             self._hash = h
         return self._hash
 
+    def beginnings(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the words of at least n bytes, n at most 8, and a hash of their first n bytes."""
+        word = np.flatnonzero(self.end - self.start >= n)
+        at = np.ndarray((len(self.data) + 1,), "<u8", np.frombuffer(self.data + bytes(8), np.uint8), 0, (1,))
+        return word, mix((at[self.start[word]] & _KEEP[n]) ^ (_B >> np.uint64(n)))
+
     def text_of(self) -> np.ndarray:
         """For each word, the number of its text."""
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))

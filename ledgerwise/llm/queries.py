@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, lm, packing, ring, setsketch, tokenfile
+from . import decontam, lm, packing, ring, setsketch, tokenfile, toxicity
+
+
+TOXIC = 0.7
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +25,13 @@ def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), lm.split_of("doc_id", 7) == 2)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), lm.split_of("doc_id", 3) == 1
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    got = docs.select("doc_id", held_out.alias("held_out"), toxicity.scorer(spark, model)("text").alias("score"))
+    return got.withColumn("predicted", (F.col("score") >= TOXIC).cast("int"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = ring.assign(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -40,7 +50,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_lm_scores, op6_sharding, op7_packing, op8_near_dedup, op10_token_files)}
+    return {f.__name__: f for f in (op1_decontamination, op3_lm_scores, op5_toxicity, op6_sharding, op7_packing, op8_near_dedup, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
