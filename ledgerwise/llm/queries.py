@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, lm, packing, ring, setsketch, tokenfile, toxicity
+from . import decontam, html_main, lm, media, packing, pii, ring, setsketch, tokenfile, toxicity
 
 
 TOXIC = 0.7
@@ -21,10 +21,18 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontam.contaminated().alias("contaminated"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), lm.split_of("doc_id", 7) == 2)
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.measure(media.stored(table(spark, sf_dir, "documents")))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), lm.split_of("doc_id", 3) == 1
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
@@ -45,12 +53,21 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    got = pii.find(docs, pii.fit(docs))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return got.select("doc_id", *map(count, pii.BASE), F.sha2(line(F.col("base")), 256).alias("base_sha256"), line(F.concat("base", "added")).alias("spans"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_tokens(spark, *tokenfile.write_tokens(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_lm_scores, op5_toxicity, op6_sharding, op7_packing, op8_near_dedup, op10_token_files)}
+    ops = (op1_decontamination, op2_html_text, op3_lm_scores, op4_media, op5_toxicity, op6_sharding, op7_packing, op8_near_dedup, op9_pii, op10_token_files)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
