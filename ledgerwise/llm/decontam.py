@@ -30,6 +30,8 @@ from ._store import stash
 from ._words import ALNUM, pieces, sequence_hash
 
 WINDOW, SHINGLE, BITS = 13, 5, 26
+#: Digests up to this many are sent to every executor (about 50 bytes each); more are joined by a shuffle.
+BROADCAST_TEXTS = 500_000
 _CHUNK = 15  # a bitmap chunk of Spark's bitmap functions has 2**15 bits
 
 
@@ -147,5 +149,6 @@ def contaminated() -> F.Column:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that aren't contaminated, with all their columns."""
-    bad = decontaminate(docs, benchmark).where(contaminated()).select(F.col("md5").alias("_m")).distinct()
+    bad = stash(decontaminate(docs, benchmark).where(contaminated()).select(F.col("md5").alias("_m")).distinct(), "bad")
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_TEXTS else bad
     return docs.join(bad, F.md5(F.coalesce(docs["text"], F.lit(""))) == bad["_m"], "left_anti")

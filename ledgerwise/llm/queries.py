@@ -50,7 +50,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

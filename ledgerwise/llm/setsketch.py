@@ -84,7 +84,7 @@ def _sketch(k: int):
                 one.append(int(mix(h + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)) if len(h) else 0)
                 two.append(int(mix(h ^ np.uint64(0x5DEECE66D5DEECE6)).sum(dtype=np.uint64).view(np.int64)) if len(h) else 0)
                 sketch.append(registers(h).tobytes() if len(h) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sketch, pa.binary())], names=["id", "n", "k1", "k2", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sketch, pa.binary())], names=["id", "text_key", "n", "k1", "k2", "sketch"])
 
     return run
 
@@ -211,9 +211,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept."""
+    """One row per row of docs (doc_id, text): doc_id, a hash of the text, n_shingles, component_id, kept."""
     docs = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text")
-    rows = stash(docs.mapInArrow(_sketch(k), "id bigint, n bigint, k1 bigint, k2 bigint, sketch binary"), "sketches")
+    rows = docs.withColumn("text_key", F.xxhash64("text"))
+    rows = stash(rows.mapInArrow(_sketch(k), "id bigint, text_key bigint, n bigint, k1 bigint, k2 bigint, sketch binary"), "sketches")
     classes = stash(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "classes")
 
     bands = classes.select("id", F.explode(F.sequence(F.lit(0), F.lit(M // ROWS - 1))).alias("i"), "sketch").select("id", F.xxhash64("i", F.expr(f"substring(sketch, {2 * ROWS} * i + 1, {2 * ROWS})")).alias("bucket"))
@@ -246,9 +247,24 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
             found = components(links.unionByName(more))
 
     named = classes.select("k1", "k2", F.col("id").alias("rep")).join(found.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("comp", "rep").alias("comp"))
-    out = rows.select("id", "n", "k1", "k2").join(named, ["k1", "k2"], "left").select("id", "n", F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("id")).alias("comp"))
+    out = rows.select("id", "text_key", "n", "k1", "k2").join(named, ["k1", "k2"], "left").select("id", "text_key", "n", F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("id")).alias("comp"))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return out.select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("comp").alias("component_id"), (F.col("id") == F.col("comp")).alias("kept"))
+    return out.select(real("id").alias("doc_id"), "text_key", F.col("n").alias("n_shingles"), real("comp").alias("component_id"), (F.col("id") == F.col("comp")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs that stay, one of each component, with all their columns."""
+    found = stash(near_duplicates(docs, k, percent), "groups")
+    key = lambda df: df.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct()
+    docs = docs.withColumn("_text", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_text") == F.col("_k"))
+    gone = stash(key(found.where("NOT kept")), "gone")
+    left = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, same, "left_anti")
+    again = stash(key(found.where("kept").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1")), "again")
+    if not again.isEmpty():  # repeated rows: one of each
+        once = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "_text"])
+        left = left.join(again, same, "left_anti").unionByName(once)
+    return left.drop("_text")
 
 
 #: Ids up to this many are sent to every executor (16 bytes each); more are joined by a shuffle.
