@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame, functions as F
 from ._store import stash
 from ._words import SPACED, pieces
 
-KNOWN, WORDS, TOP = 1 << 19, 8191, 1023
-ARCS, LEAST, DISCOUNT = 500_000, 3, 0.75
+KNOWN, WORDS, TOP = 1 << 18, 8191, 1023
+ARCS, LEAST, DISCOUNT = 400_000, 3, 0.75
 END = np.uint64(0x656E64206F662074)
 _W = 14  # bits of a symbol: 0 is any other token, 1 to WORDS a word, WORDS + 1 the start
 
@@ -69,9 +69,9 @@ def _place(table: np.ndarray, h: np.ndarray) -> np.ndarray:
 class Vocabulary:
     """The most frequent tokens: sorted hashes, with the count and the symbol of each."""
 
-    def __init__(self, rows: list[tuple[int, int]], tokens: int, distinct: int, words: int):
-        h = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-        n = np.array([r[1] for r in rows], np.int64)
+    def __init__(self, h: np.ndarray, n: np.ndarray, tokens: int, distinct: int, words: int):
+        order = np.lexsort((h, -n))
+        h, n = h[order].view(np.uint64), n[order]
         self.total = tokens + distinct + 1  # what add-one counts divide by
         self.hash, order = np.sort(h), np.argsort(h)
         self.count = n[order]
@@ -108,45 +108,43 @@ def _grams(vocabulary, top: int):
 class Automaton:
     """keys: state << bits | symbol of each arc, sorted; logp, to: of each arc; fail, weight: of each state; root: log-probabilities."""
 
-    def __init__(self, root: np.ndarray, start: int, grams: list[tuple[int, int]], seen: dict[int, int]):
-        """grams: kept (n-gram, count); seen: how often each symbol is a context."""
+    def __init__(self, root: np.ndarray, start: int, grams: np.ndarray, count: np.ndarray, seen: np.ndarray):
+        """grams, count: the kept n-grams; seen: how often each symbol is a context."""
         self.start, self.root = start + 1, np.log10(root)
-        states = start + 2  # the root, then a state for each symbol as a context
-        pairs = {g: c for g, c in grams if g < 1 << 2 * _W}
-        triples = {g: c for g, c in grams if g >= 1 << 2 * _W}
-        triples = {g: c for g, c in triples.items() if (((g >> 2 * _W) - 1) << _W | g >> _W & (1 << _W) - 1) in pairs}
-        low = lambda g: g & (1 << _W) - 1
-        context = lambda g: ((g >> 2 * _W) - 1) << _W | low(g >> _W)
-        longer = {x: states + i for i, x in enumerate(sorted({context(g) for g in triples}))}
-        fail, weight = np.zeros(states + len(longer), np.int64), np.zeros(states + len(longer))
-
-        p2 = {g: (c - DISCOUNT) / seen[g >> _W] for g, c in pairs.items()}
-        out, under = np.zeros(states), np.zeros(states)
-        for g, p in p2.items():
-            out[(g >> _W) + 1] += p
-            under[(g >> _W) + 1] += root[low(g)]
-        rest = lambda out, under: np.where(under < 1 - 1e-9, np.maximum(1 - out, 1e-12) / np.maximum(1 - under, 1e-12), 1e-12)
-        full = lambda under: under >= 1 - 1e-9  # noqa: E731  every symbol has an arc, so nothing is left for the failure arc
-        p2 = {g: p / out[(g >> _W) + 1] if full(under[(g >> _W) + 1]) else p for g, p in p2.items()}
-        bow = rest(out, under)
-        lower = lambda b, c: p2[b << _W | c] if b << _W | c in p2 else bow[b + 1] * root[c]
-        out3, under3 = np.zeros(len(longer)), np.zeros(len(longer))
-        p3 = {}
-        for g, c in triples.items():
-            x = context(g)
-            p3[g] = (c - DISCOUNT) / pairs[x]
-            out3[longer[x] - states] += p3[g]
-            under3[longer[x] - states] += lower(low(x), low(g))
-        p3 = {g: p / out3[longer[context(g)] - states] if full(under3[longer[context(g)] - states]) else p for g, p in p3.items()}
-        weight[:states], weight[states:] = np.log10(bow), np.log10(rest(out3, under3))
-        for x, s in longer.items():
-            fail[s] = low(x) + 1
-        to = lambda b, c: longer.get(b << _W | c, c + 1)
-        arcs = [((g >> _W) + 1 << _W | low(g), np.log10(p), to(g >> _W, low(g))) for g, p in p2.items()]
-        arcs += [(longer[context(g)] << _W | low(g), np.log10(p), to(low(g >> _W), low(g))) for g, p in p3.items()]
-        arcs.sort()
-        self.keys, self.to = (np.array([a[i] for a in arcs], np.int64) for i in (0, 2))
-        self.logp, self.fail, self.weight = np.array([a[1] for a in arcs], float), fail, weight
+        states, mask = start + 2, (1 << _W) - 1  # the root, then a state for each symbol as a context
+        order = np.argsort(grams)
+        grams, count = grams[order], count[order].astype(float)
+        pair = grams < 1 << 2 * _W
+        two, n2, three, n3 = grams[pair], count[pair], grams[~pair], count[~pair]
+        context = ((three >> 2 * _W) - 1) << _W | (three >> _W) & mask
+        at = _place(two, context)
+        three, n3, context, at = three[at >= 0], n3[at >= 0], context[at >= 0], at[at >= 0]
+        longer = np.unique(context)
+
+        def spread(state: np.ndarray, k: int, p: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Arc probabilities, and the weight of each state's failure arc."""
+            out, under = np.bincount(state, p, k), np.bincount(state, lower, k)
+            full = under >= 1 - 1e-9  # every symbol has an arc, so nothing is left to fail for
+            return np.where(full[state], p / out[state], p), np.where(full, 1e-12, np.maximum(1 - out, 1e-12) / np.maximum(1 - under, 1e-12))
+
+        a, b = two >> _W, two & mask
+        p2, bow = spread(a + 1, states, (n2 - DISCOUNT) / seen[a], root[b])
+        b3, c3 = (three >> _W) & mask, three & mask
+        back = _place(two, b3 << _W | c3)
+        lower = np.where(back >= 0, p2[back] if len(p2) else 0, bow[b3 + 1] * root[c3])
+        own = np.searchsorted(longer, context)
+        p3, bow3 = spread(own, len(longer), (n3 - DISCOUNT) / (n2[at] if len(n2) else 1), lower)
+        self.weight = np.log10(np.concatenate([bow, bow3]))
+        self.fail = np.concatenate([np.zeros(states, np.int64), (longer & mask) + 1])
+
+        def to(b: np.ndarray, c: np.ndarray) -> np.ndarray:
+            x = _place(longer, b << _W | c)
+            return np.where(x >= 0, states + x, c + 1)
+
+        keys = np.concatenate([(a + 1) << _W | b, (states + own) << _W | c3])
+        order = np.argsort(keys)
+        self.keys, self.logp = keys[order], np.log10(np.concatenate([p2, p3]))[order]
+        self.to = np.concatenate([to(a, b), to(b3, c3)])[order]
 
     def step(self, state: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The log-probability of each lane's symbol and its next state."""
@@ -210,6 +208,19 @@ def split_of(column: str, mod: int) -> F.Column:
     return F.crc32(F.encode(F.coalesce(F.col(column).cast("string"), F.lit("")), "UTF-8")) % mod
 
 
+def _most_frequent(counts: DataFrame, key: str, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts n of all rows from the least count on that leaves at most `bound`; counts differ in steps of a 32nd power of two."""
+    rank = F.floor(F.log2("n") * 32).cast("int")
+    least, left = 0, bound
+    for r in counts.groupBy(rank.alias("r")).agg(F.count("*").alias("k")).orderBy(F.desc("r")).collect():  # 2,048 rows at most
+        left -= r.k
+        if left < 0:
+            least = r.r + 1
+            break
+    got = counts.where(rank >= least).select(key, "n").toArrow()
+    return got.column(key).to_numpy(), got.column("n").to_numpy()
+
+
 def score(docs: DataFrame, held_out: F.Column, known: int = KNOWN, words: int = WORDS, top: int = TOP, arcs: int = ARCS) -> DataFrame:
     """One row per row of docs (doc_id, text), scored by a model of the rows that aren't held out."""
     spark = docs.sparkSession
@@ -217,14 +228,13 @@ def score(docs: DataFrame, held_out: F.Column, known: int = KNOWN, words: int =
     train = docs.where("NOT held_out").select("text")
     counts = stash(train.mapInArrow(_tokens, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")), "counts")
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    near = [(r.h, r.n) for r in counts.orderBy(F.desc("n"), "h").limit(known).collect()]  # at most `known` rows
-    v = Vocabulary(near, tokens, distinct, words)
+    v = Vocabulary(*_most_frequent(counts, "h", known), tokens, distinct, words)
     shared = spark.sparkContext.broadcast(v)
     grams = stash(train.mapInArrow(_grams(shared, top), "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n")), "grams")
-    one = F.shiftright("g", _W)
-    seen = {r.c: r.n for r in grams.where(F.col("g") < 1 << 2 * _W).groupBy(one.alias("c")).agg(F.sum("n").alias("n")).collect()}  # words + 2 rows at most
-    kept = [(r.g, r.n) for r in grams.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "g").limit(arcs).collect()]  # at most `arcs` rows
-    automaton = spark.sparkContext.broadcast(Automaton(v.root, v.start, kept, seen))
+    used = grams.where(F.col("g") < 1 << 2 * _W).groupBy(F.shiftright("g", _W).cast("int").alias("c")).agg(F.sum("n").alias("n")).toArrow()  # words + 2 rows at most
+    seen = np.ones(v.start + 1)
+    seen[used.column("c").to_numpy()] = used.column("n").to_numpy()
+    automaton = spark.sparkContext.broadcast(Automaton(v.root, v.start, *_most_frequent(grams.where(F.col("n") >= LEAST), "g", arcs), seen))
     kind = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, far array<bigint>"
     rows = docs.mapInArrow(_score(shared, automaton), kind).withColumn("row", F.monotonically_increasing_id())
     rows = stash(rows, "scores")  # written, so that a row keeps its number

@@ -61,7 +61,8 @@ def model(seed=4, words=6):
     # a context that ends texts has fewer successors than occurrences; in the corpus only the end token does
     triples = {k: n for k, n in triples.items() if n >= 3 and k[:2] in pairs and ends[k[1]] >= 0}
     grams += [((a + 1) << 2 * lm._W | b << lm._W | c, n) for (a, b, c), n in triples.items()]
-    return lm.Automaton(root, start, grams, dict(seen)), root, start, texts
+    g, n = (np.array([x[i] for x in grams], np.int64) for i in (0, 1))
+    return lm.Automaton(root, start, g, n, np.array([seen[i] or 1 for i in range(start + 1)], float)), root, start, texts
 
 
 def test_each_state_is_a_distribution():
