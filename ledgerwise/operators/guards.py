@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: Size limit, file ending, phrases that SQL files don't hold.
 MAX_BYTES = 10 * 1024 * 1024
@@ -53,7 +53,7 @@ def output_errors() -> Column:
     )
 
 
-@F.udf("array<string>")
+@F.udf(T.ArrayType(T.StringType()))
 def grammar_errors(text: str) -> list[str]:
     """The grammar's findings on a formula; dictionaries are metadata, so a row at a time will do."""
     from ..functions.lint import grammar

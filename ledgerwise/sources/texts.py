@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 #: Encodings in the order tried, and the least share of printable characters.
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin-1")
@@ -27,7 +27,7 @@ def decode(data: bytes) -> tuple[str | None, str | None]:
     return None, None
 
 
-@F.pandas_udf("text string, encoding string")
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("encoding", T.StringType())]))
 def _decoded(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([decode(bytes(c)) for c in content], columns=["text", "encoding"])
 
