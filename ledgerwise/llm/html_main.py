@@ -6,7 +6,8 @@ forms, adverts, notices, comments: by tag, role, class or id) weigh nothing. For
 the length of its text and its punctuation are divided by its number of blocks, links counting
 against it. Both ratios are spread over the blocks in page order and smoothed with a Gaussian,
 so a heading or a short paragraph gains from its neighbours; their geometric fusion is averaged
-for each path. Paths that reach ``LEAST`` of the page's best are content.
+for each path. Where article or main elements hold most of that text, paths outside them count a
+``OUTSIDE`` of it. Paths that reach ``LEAST`` of the page's best are content.
 
 Defined cases: null and empty html give empty text; unclosed and stray tags are read as browsers
 do in the main cases (a block ends an open paragraph; an end tag closes up to its start tag or is
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-LEAST, SIGMA = 0.08, 1.0
+LEAST, SIGMA, OUTSIDE = 0.08, 1.0, 0.1
 
 _TAG = re.compile(r"<(?:!--(?:.*?)(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -38,10 +39,12 @@ _SCOPE = frozenset("ul ol menu dl table body article section div".split())
 _NEVER = frozenset("head title script style nav aside footer form fieldset legend button select option label textarea noscript iframe template svg math dialog menu search xmp noembed noframes object audio video canvas".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _NAMES = re.compile(
-    r"(?:^|[^a-z])(?:ads?|adverts?|advertisements?|advertising|adbox|banners?|sponsor(?:ed|s)?|promo(?:s|tions?)?|menus?|nav(?:bar|igation)?|breadcrumbs?|side-?bars?|(?:site|page|main|top)-?header|mast-?head|foot(?:er)?|"
-    r"cookies?|consent|gdpr|notices?|notifications?|alerts?|popups?|modals?|overlay|newsletters?|subscri(?:be|ption)|signup|login|comments?|comment-?list|disqus|respon(?:d|ses?)|repl(?:y|ies)|discussion|related|recommend(?:ed|ations?)?|read-?more|"
-    r"share|sharing|social|widgets?|toolbar|pagination|pager|tags?|copyright|legal|disclaimer|forms?|search|skip-?links?|hidden|sr-only|teasers?)(?:$|[^a-z])"
+    r"(?:^|[^a-z])(?:ads?|adverts?|advertisements?|advertising|adbox|banners?|sponsor(?:ed|s)?|promo(?:s|tions?)?|menus?|nav(?:bar|igation)?|breadcrumbs?|side-?bars?|(?:site|page|main|top)-?header|mast-?head|top-?bar|foot(?:er)?|"
+    r"cookies?|consent|gdpr|notices?|notifications?|announcements?|alerts?|feedback|popups?|modals?|overlay|newsletters?|subscri(?:be|ption)|signup|login|comments?|comment-?list|disqus|respon(?:d|ses?)|repl(?:y|ies)|discussion|related|recommend(?:ed|ations?)?|read-?more|"
+    r"share|sharing|social|widgets?|toolbar|pagination|pager|tags|copyright|legal|disclaimer|forms?|search|skip-?links?|hidden|sr-only|teasers?)(?:$|[^a-z])"
 )
+#: Words of a container about what stands beside or in it, not about itself.
+_ABOUT = re.compile(r"(?:^|(?<=[^a-z]))(?:has|with|no|without|show|hide)-[a-z-]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 
 
@@ -62,7 +65,9 @@ def _boilerplate(tag: str, attributes: str, path: list[str]) -> tuple[bool, str]
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "role" and value.lower() in _ROLES:
             return True, tag
         if key in ("class", "id"):
-            if _NAMES.search(_plain(value)):
+            plain = _ABOUT.sub("", _plain(value))
+            inside = {"article", "main"} & {p.partition(".")[0] for p in path}
+            if _NAMES.search(plain) or not inside and re.search(r"(?:^|[^a-z])header(?:$|[^a-z])", plain):
                 return True, tag
             if key == "class":
                 name = "." + " ".join(sorted(value.lower().split()))
@@ -163,6 +168,9 @@ def content_paths(found: list[tuple[str, str, int]]) -> set[str]:
     score = np.bincount(of, fused) / n
     links = np.bincount(of, [k for *_, k in found]) / np.maximum(1, np.bincount(of, [len(t) for _, t, _ in found]))
     score = np.where(links > 0.6, 0, score)
+    inside = np.array([bool({"article", "main"} & {x.partition(".")[0] for x in p.split(">")}) for p in place])
+    if 2 * long[inside].sum() > long.sum():
+        score = np.where(inside, score, OUTSIDE * score)
     return {p for p, i in place.items() if score[i] > 0 and score[i] >= LEAST * score.max()}
 
 
