@@ -23,6 +23,9 @@ DATE_FORMATS = {"DD/MM/YYYY": "dd/MM/yyyy", "MM/DD/YYYY": "MM/dd/yyyy", "YYYY-MM
 UNITS = {"D": "DAY", "DAY": "DAY", "DAYS": "DAY", "M": "MONTH", "MONTH": "MONTH", "Y": "YEAR", "YEAR": "YEAR", "H": "HOUR", "HOUR": "HOUR", "MI": "MINUTE", "MINUTE": "MINUTE", "S": "SECOND", "SECOND": "SECOND", "Q": "QUARTER", "QUARTER": "QUARTER", "W": "WEEK", "WEEK": "WEEK"}
 TYPES = {"NUMBER": "decimal(38,10)", "DECIMAL": "decimal(38,10)", "INT": "bigint", "INTEGER": "bigint", "BIGINT": "bigint", "DOUBLE": "double", "FLOAT": "double", "STRING": "string", "TEXT": "string", "VARCHAR": "string", "CHAR": "string", "DATE": "date", "DATETIME": "timestamp_ntz", "TIMESTAMP": "timestamp_ntz", "BOOLEAN": "boolean"}
 
+#: Which argument of a function is a word of the language, even if the schema has that name.
+WORDS = {"DATEDIFF": 2, "DATEPART": 1, "CONVERT": 1, "TODATE": 1, "DATE": 1, "PERIOD": 0}
+
 
 @dataclass(frozen=True)
 class Value:
@@ -185,8 +188,10 @@ class Compiler:
     def _call(self, n: Call) -> Value:
         if not (make := getattr(self, f"fn_{n.name.lower()}", None)):
             raise FormulaError(f"unknown function {n.name}", n.span[0])
+        words = WORDS.get(n.name)
+        args = [literal(a.parts[0]) if i == words and isinstance(a, Reference) and len(a.parts) == 1 else self.value(a) for i, a in enumerate(n.args)]
         try:
-            return make(*map(self.value, n.args))
+            return make(*args)
         except TypeError as e:
             raise FormulaError(f"{n.name}: wrong number of arguments ({len(n.args)})", n.span[0]) from e
 

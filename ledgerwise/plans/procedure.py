@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.lint import without_comments
 from ..operators.steps import merge
 from .statements import _PATH, classify, plain_name, split_statements, top_find, top_split
 
@@ -65,7 +66,7 @@ class Procedure:
 
     def run(self, sql: str) -> dict[str, DataFrame]:
         """The tables after all statements."""
-        todo = split_statements(sql, self.dialect)
+        todo = split_statements(without_comments(sql), self.dialect)
         states: list[list[bool]] = []  # for each open IF: whether its branch runs, and whether one has
         for s in todo:
             word = re.match(r"\s*(\w+)(?:\s+(\w+))?", s)

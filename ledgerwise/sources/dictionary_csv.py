@@ -34,7 +34,7 @@ def from_external(rows: DataFrame) -> DataFrame:
 
 def write(rows: DataFrame, path: str) -> None:
     """Dictionary rows as CSV with a header; the dictionary is metadata, one file."""
-    to_external(rows).coalesce(1).write.mode("overwrite").option("header", True).option("quoteAll", False).option("escape", '"').option("emptyValue", "").csv(path)
+    to_external(rows).coalesce(1).write.mode("overwrite").option("header", True).option("quoteAll", False).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
