@@ -167,7 +167,7 @@ def _assigned(sets: str) -> dict[str, str]:
     return out
 
 
-_FROM = re.compile(rf"(?i)\b(?:FROM|JOIN|USING|INTO|UPDATE|MERGE\s+INTO)\s+({_PATH})(?:\s+(?:AS\s+)?(?!(?:ON|SET|WHERE|LEFT|RIGHT|INNER|FULL|CROSS|JOIN|USING|VALUES|SELECT|GROUP|ORDER|WHEN|UNION|HAVING|LIMIT)\b)([A-Za-z_]\w*))?")
+_FROM = re.compile(rf"(?i)\b(?:FROM|JOIN|USING|INTO|UPDATE|MERGE\s+INTO)\s+(?!SET\b)({_PATH})(?:\s+(?:AS\s+)?(?!(?:ON|SET|WHERE|LEFT|RIGHT|INNER|FULL|CROSS|JOIN|USING|VALUES|SELECT|GROUP|ORDER|WHEN|UNION|HAVING|LIMIT)\b)([A-Za-z_]\w*))?")
 
 
 def aliases(sql: str) -> dict[str, str]:
