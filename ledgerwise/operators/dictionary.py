@@ -148,6 +148,16 @@ def pending_exceptions(sites: DataFrame) -> DataFrame:
     return sites.where("_r <> 'EXCEPTION_HANDLER'").join(handlers, "_g", "left_semi").drop("_g", "_r")
 
 
+#: What marks a technical entity, as against a business one.
+TECHNICAL = r"(?i)status|log|audit|error|process|temp|tmp|stg|#"
+
+
+def by_entity(numbered: DataFrame) -> DataFrame:
+    """Rules in order of their entity's first rule, entities told apart as technical or business."""
+    first = F.min("first").over(Window.partitionBy(logical_name("entity_name")))
+    return numbered.withColumns({"entity_first": first, "is_technical": F.col("entity_name").rlike(TECHNICAL)}).orderBy("is_technical", "entity_first", "first")
+
+
 def report(rules_: DataFrame, uses: DataFrame, title: str) -> str:
     """A Markdown report of numbered rules and tables; metadata, so laid out on the driver."""
     from ..functions.explain import explain, laid_out

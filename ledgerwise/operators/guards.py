@@ -54,7 +54,7 @@ def output_errors() -> Column:
 
 
 @F.udf(T.ArrayType(T.StringType()))
-def grammar_errors(text: str) -> list[str]:
+def grammar_errors(text):
     """The grammar's findings on a formula; dictionaries are metadata, so a row at a time will do."""
     from ..functions.lint import grammar
 

@@ -22,6 +22,22 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: in
     return docs.select(id_col, F.posexplode(packed).alias("chunk_no", "chunk"))
 
 
+def ingest(files: DataFrame, kind: str) -> DataFrame:
+    """file, text to id ({kind}-{stem}-{i}) and document of each chunk."""
+    stem = F.regexp_replace("file", r"\.[^.]*$", "")
+    return chunks(files, "file").select(F.format_string(f"{kind}-%s-%d", stem, "chunk_no").alias("id"), F.col("chunk").alias("document"))
+
+
+def context(question: DataFrame, platform: DataFrame, domain: DataFrame, most: tuple[int, int] = (4, 2)) -> DataFrame:
+    """query_id and the documents nearest to each question (id, document), of both collections (id, document), as one text."""
+    q = sparse_vectors(question, "id", "document")
+    found = None
+    for order, (docs, k) in enumerate(zip((platform, domain), most)):
+        near = nearest_texts(q, sparse_vectors(docs, "id", "document"), k).join(docs, "id").select("query_id", F.struct(F.lit(order).alias("o"), "rank", "document").alias("d"))
+        found = near if found is None else found.unionByName(near)
+    return found.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("d")), lambda d: d["document"]), "\n\n").alias("context"))
+
+
 def sparse_vectors(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """id, dim, weight: word counts hashed to DIMENSIONS places, of unit length."""
     words = docs.select(F.col(id_col).alias("id"), F.explode(F.split(F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))), " ")).alias("w")).where("w <> ''")

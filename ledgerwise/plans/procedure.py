@@ -60,7 +60,7 @@ class Procedure:
     def query(self, sql: str) -> DataFrame:
         for name, df in self.tables.items():
             df.createOrReplaceTempView(name.lstrip("#"))
-        sql = re.sub(r"(?i)\s+FROM\s+DUAL\b", "", self.bound(sql).replace("#", ""))
+        sql = re.sub(r"(?i)\s+FROM\s+DUAL\b", "", re.sub(r"('(?:[^']|'')*')|#(?=\w)", lambda m: m[1] or "", self.bound(sql)))
         sql = re.sub(r"(?i)\b(?:AND\s+)?ROWNUM\s*(?:=|<=)\s*(\d+)", "", sql) + (" LIMIT " + m[1] if (m := re.search(r"(?i)\bROWNUM\s*(?:=|<=)\s*(\d+)", sql)) else "")
         return self.spark.sql(re.sub(r"(?i)\bWHERE\s*(?=LIMIT\b|$)", "", sql))
 

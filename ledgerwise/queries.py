@@ -375,6 +375,63 @@ def s_object_rollup(spark, sf):
     return out.select("name", join("tables_read").alias("reads"), join("tables_written").alias("writes"), join("called").alias("calls"))
 
 
+WRITES = [(1, "EXCEPTION WHEN OTHERS THEN UPDATE a SET x = 1"), (2, "MERGE INTO a USING (SELECT CASE WHEN 1=1 THEN 2 END) s"), (3, "MERGE INTO a USING (SELECT max(v) FROM t GROUP BY k) s"), (4, "UPDATE a SET x = 0"), (5, "UPDATE a SET x = NULL"), (6, "UPDATE a SET x = y WHERE z > 1"), (7, "UPDATE a SET x = y"), (8, "SELECT CASE WHEN a THEN 1 END"), (9, "SELECT sum(x), COUNT(*) FROM t GROUP BY k")]
+
+
+@query(
+    f"""SELECT i, CASE WHEN regexp_matches(s, '(?i)^\\s*EXCEPTION\\b') THEN 'EXCEPTION_HANDLER' WHEN s LIKE 'MERGE INTO%USING (%' AND regexp_matches(s, '(?i)\\bCASE\\b') THEN 'MERGE_USING_CASE_VALUE' WHEN s LIKE 'MERGE INTO%USING (%' THEN 'MERGE_USING'
+    WHEN regexp_matches(s, '^UPDATE.*SET.*=\\s*0\\b') THEN 'INITIAL_RESET' WHEN regexp_matches(s, '^UPDATE.*SET.*=\\s*NULL\\b') THEN 'NULL_RESET' WHEN s LIKE 'UPDATE%WHERE%' THEN 'SEQUENTIAL_FIXUP' WHEN s LIKE 'UPDATE%' THEN 'UPDATE' WHEN regexp_matches(s, '\\bCASE\\b') THEN 'CASE_VALUE_SELECTION' ELSE 'SEQUENTIAL_ASSIGNMENT' END AS role,
+    CASE WHEN s LIKE '%GROUP BY%' THEN array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(s, '(?i)\\b(MIN|MAX|SUM|COUNT|AVG|LISTAGG)\\s*\\(', 1), lambda x: upper(x)))), ',') ELSE '' END AS aggregates FROM {_values(WRITES, 'i, s')}""".replace("\\\\", "\\")
+)
+def d_roles(spark, sf):
+    df = spark.createDataFrame(WRITES, "i int, s string")
+    return df.select("i", dictionary.role("s").alias("role"), F.array_join(dictionary.aggregates("s"), ",").alias("aggregates"))
+
+
+@query(
+    """WITH j AS (SELECT n_regionkey AS chain, n_nationkey AS pos, 'S' || (n_nationkey % 2) AS t, unnest(['A', 'B' || (n_nationkey % 3)]) AS c FROM nation), m AS (SELECT *, CASE WHEN t = 'S1' THEN 'ENTITY' ELSE t END AS e FROM j)
+    SELECT e AS entity, c AS col, chain, object FROM (SELECT e, c, chain, 'o' || pos AS object, row_number() OVER (PARTITION BY e, c ORDER BY chain, pos) AS r FROM m) WHERE r = 1"""
+)
+def d_expand_jobs(spark, sf):
+    n = table(spark, sf, "nation")
+    chains = n.groupBy(F.col("n_regionkey").alias("chain")).agg(F.transform(F.array_sort(F.collect_list("n_nationkey")), lambda k: F.concat(F.lit("o"), k)).alias("order"))
+    wrote = n.select(F.concat(F.lit("o"), "n_nationkey").alias("object_id"), F.concat(F.lit("S"), F.col("n_nationkey") % 2).alias("table"), F.array(F.lit("A"), F.concat(F.lit("B"), F.col("n_nationkey") % 3)).alias("columns"))
+    names = spark.createDataFrame([("s1", "ENTITY")], "table string, entity string")
+    return dictionary.expand_jobs(chains, wrote, names).select("entity", F.col("column").alias("col"), "chain", F.col("object_id").alias("object"))
+
+
+@query(
+    """WITH inv AS (SELECT upper(c_mktsegment) AS c, list(DISTINCT 'T' || (c_custkey % 2)) AS q FROM customer WHERE c_custkey % 2 = 0 OR c_mktsegment = 'BUILDING' GROUP BY ALL)
+    SELECT c_custkey, CASE WHEN len(q) = 1 AND NOT list_contains(q, 'X' || (c_custkey % 3)) THEN q[1] ELSE 'X' || (c_custkey % 3) END AS qualifier FROM customer LEFT JOIN inv ON c = upper(c_mktsegment)"""
+)
+def d_grounded(spark, sf):
+    c = table(spark, sf, "customer")
+    uses = c.where("c_custkey % 2 = 0 OR c_mktsegment = 'BUILDING'").select(F.concat(F.lit("T"), F.col("c_custkey") % 2).alias("qualifier"), F.col("c_mktsegment").alias("column"))
+    refs = c.select("c_custkey", F.concat(F.lit("X"), F.col("c_custkey") % 3).alias("qualifier"), F.col("c_mktsegment").alias("column"))
+    return dictionary.grounded(refs, dictionary.reference_inventory(uses)).select("c_custkey", "qualifier")
+
+
+@query("SELECT arg_min(event_type || ' ', event_id) AS term, arg_max(user_id::VARCHAR, event_id) AS definition, min(event_id) AS first FROM events GROUP BY upper(trim(event_type))")
+def e_glossary(spark, sf):
+    e = table(spark, sf, "events").select(F.concat("event_type", F.lit(" ")).alias("term"), F.col("user_id").cast("string").alias("definition"), F.col("event_id").alias("pos"))
+    return dictionary.glossary(e)
+
+
+@query("SELECT s_suppkey, CASE WHEN s_acctbal > 5000 THEN NULL ELSE least(s_acctbal, s_suppkey * 50.0) END AS low FROM supplier")
+def w_least_guard(spark, sf):
+    df = table(spark, sf, "supplier").select("s_suppkey", F.when(F.col("s_acctbal") <= 5000, F.col("s_acctbal")).alias("a"), (F.col("s_suppkey") * 50.0).alias("b"))
+    return df.select("s_suppkey", steps.least_known("a", "b").alias("low"))
+
+
+@query("SELECT * FROM (SELECT p_partkey, CASE WHEN p_size > 40 THEN 'BIG' WHEN p_size > 20 THEN 'MID' ELSE 'LOW' END AS band, p_retailprice * CASE WHEN p_brand = 'Brand#13' THEN 2 ELSE 1 END AS price FROM part) WHERE NOT (band = 'LOW' AND price < 950)")
+def w_procedure(spark, sf):
+    """IF branches, guarded updates, a self-reading update and a delete of one procedure."""
+    sql = """CREATE PROCEDURE p(p_KEY INT) AS BEGIN UPDATE part SET band = 'LOW'; IF p_KEY > 5 THEN UPDATE part SET band = 'MID' WHERE p_size > 20; UPDATE part SET band = 'BIG' WHERE p_size > 40; ELSE UPDATE part SET band = 'NONE'; END IF;
+    UPDATE part SET price = price * 2 WHERE p_brand = 'Brand#13'; DELETE FROM part WHERE band = 'LOW' AND price < 950; END;"""
+    df = table(spark, sf, "part").select("p_partkey", "p_size", "p_brand", F.lit("").alias("band"), F.col("p_retailprice").alias("price"))
+    return procedure.run(spark, sql, {"part": df}, {"p_KEY": 7})["part"].select("p_partkey", "band", "price")
+
+
 # --- dictionary -----------------------------------------------------------------------------
 
 
