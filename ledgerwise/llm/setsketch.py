@@ -105,6 +105,17 @@ def _least(percent: int) -> float:
     return s - 5 * (s * (1 - s) / M) ** 0.5
 
 
+def _maybe(s: np.ndarray, t: np.ndarray, n1: np.ndarray, n2: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the likeliest similarity of sketches s and t may be enough; few equal registers settle it without the likelihood."""
+    least, equal = _least(percent), (s == t).sum(1)
+    out = equal >= M * (least - 0.1)
+    i = np.flatnonzero(out)
+    if len(i):
+        a, b = np.broadcast_to(s, t.shape)[i], t[i]
+        out[i] = likeliest(equal[i], (a > b).sum(1), (a < b).sum(1), n1[i], n2[i]) >= least
+    return out
+
+
 def _plausible(percent: int):
     """(a, b, sizes, sketches) batches to the pairs (a, b) that may be similar enough."""
 
@@ -112,7 +123,7 @@ def _plausible(percent: int):
         for b in batches:
             n1, n2 = b.column(2).to_numpy().astype(float), b.column(3).to_numpy().astype(float)
             s, t = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, M) for c in (4, 5))
-            keep = likeliest((s == t).sum(1), (s > t).sum(1), (s < t).sum(1), n1, n2) >= _least(percent) if b.num_rows else np.zeros(0, bool)
+            keep = _maybe(s, t, n1, n2, percent)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep))], names=["a", "b"])
 
     return run
@@ -158,14 +169,17 @@ def _block_links(percent: int):
         n = np.array([r["n"] for r in rows], float)
         sk = np.frombuffer(b"".join(r["sketch"] for r in rows), "<u2").reshape(-1, M)
         block, comp, hub = (np.array([r[c] for r in rows]) for c in ("block", "comp", "hub"))
+        bands = sk.view("V12")  # ROWS registers of two bytes: each band as one value
+        band = rows[0]["band"]
         sets = [_as_set(r["shingles"]) for r in rows]
         for i in range(len(rows)):
             js = np.flatnonzero((comp != comp[i]) & ~hub & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
             js = js[(js > i) & (((block[i] == lo) & (block[js] == hi)) | ((block[i] == hi) & (block[js] == lo)))]
             if hub[i] or not len(js):
                 continue
-            s, t = sk[i][None, :], sk[js]
-            js = js[likeliest((s == t).sum(1), (s > t).sum(1), (s < t).sum(1), np.full(len(js), n[i]), n[js]) >= _least(percent)]
+            if band:  # in the first bucket that they share only
+                js = js[~(bands[js, :band] == bands[i, :band]).any(1)]
+            js = js[_maybe(sk[i][None, :], sk[js], np.full(len(js), n[i]), n[js], percent)]
             for j in js.tolist():
                 x, y = find(rows[i]["comp"]), find(rows[j]["comp"])
                 if x != y and _similar(sets[i], sets[j], percent):
@@ -217,7 +231,7 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
     rows = stash(rows.mapInArrow(_sketch(k), "id bigint, text_key bigint, n bigint, k1 bigint, k2 bigint, sketch binary"), "sketches")
     classes = stash(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "classes")
 
-    bands = classes.select("id", F.explode(F.sequence(F.lit(0), F.lit(M // ROWS - 1))).alias("i"), "sketch").select("id", F.xxhash64("i", F.expr(f"substring(sketch, {2 * ROWS} * i + 1, {2 * ROWS})")).alias("bucket"))
+    bands = classes.select("id", F.explode(F.sequence(F.lit(0), F.lit(M // ROWS - 1))).alias("i"), "sketch").select("id", F.col("i").alias("band"), F.xxhash64("i", F.expr(f"substring(sketch, {2 * ROWS} * i + 1, {2 * ROWS})")).alias("bucket"))
     buckets = bands.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1")
     shared = stash(bands.join(buckets, "bucket"), "buckets")
 
@@ -233,13 +247,12 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
 
     open_ = shared.where("size > 2").join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     split = open_.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("bucket")
-    # The two members of a pair are compared in one bucket alone would do; all they share are tried, as blocks bound the work.
     open_ = stash(open_.join(split, "bucket").withColumn("parts", F.ceil(F.col("size") / BLOCK)), "open")
     if not open_.isEmpty():
         sets = _sets_of(docs, open_.select("id").distinct(), k)
         own = F.pmod(F.xxhash64("id"), F.col("parts"))
         dealt = open_.select("*", own.alias("block")).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-        dealt = dealt.select("bucket", "id", "comp", (F.col("id") == F.col("hub")).alias("hub"), "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+        dealt = dealt.select("bucket", "band", "id", "comp", (F.col("id") == F.col("hub")).alias("hub"), "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
         dealt = dealt.join(classes.select("id", "n", "sketch"), "id").join(sets, "id")
         more = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "id").mapInArrow(_block_links(percent), "a bigint, b bigint")
         more = stash(more, "more")
