@@ -268,16 +268,21 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
 def keep_one(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that stay, one of each component, with all their columns."""
     found = stash(near_duplicates(docs, k, percent), "groups")
-    key = lambda df: df.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct()
-    docs = docs.withColumn("_text", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_text") == F.col("_k"))
+    own = "__ledgerwise_text"
+    docs = docs.withColumn(own, F.xxhash64("text"))
+
+    def same(df: DataFrame, other: DataFrame):
+        return df["doc_id"].eqNullSafe(other["__ledgerwise_id"]) & (df[own] == other["__ledgerwise_key"])
+
+    key = lambda df: df.select(F.col("doc_id").alias("__ledgerwise_id"), F.col("text_key").alias("__ledgerwise_key")).distinct()
     gone = stash(key(found.where("NOT kept")), "gone")
-    left = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, same, "left_anti")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    left = docs.join(gone, same(docs, gone), "left_anti")
     again = stash(key(found.where("kept").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1")), "again")
     if not again.isEmpty():  # repeated rows: one of each
-        once = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "_text"])
-        left = left.join(again, same, "left_anti").unionByName(once)
-    return left.drop("_text")
+        once = left.join(again, same(left, again), "left_semi").dropDuplicates(["doc_id", own])
+        left = left.join(again, same(left, again), "left_anti").unionByName(once)
+    return left.drop(own)
 
 
 #: Ids up to this many are sent to every executor (16 bytes each); more are joined by a shuffle.

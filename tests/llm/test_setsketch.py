@@ -63,6 +63,17 @@ def test_chains_and_families(spark):
     same(spark, [(1000 - a, t) for a, t in rows])
 
 
+def test_keep_one_with_clashing_columns(spark, rows):
+    text = rows[8][1]
+    data = [(r[0], r[1], "a", "b", 1, 2) for r in rows] + [(8, text, "a", "b", 1, 2)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, _d string, _text string, id int, n int").repartition(2)
+    left = S.keep_one(df)
+    assert left.columns == df.columns
+    want = {d for d, _, _, keep in brute([(r[0], r[1]) for r in data]) if keep}
+    got = [r.doc_id for r in left.collect()]
+    assert set(got) == want and len(got) == len(set(got))
+
+
 def test_empty(spark):
     same(spark, [])
     same(spark, [(1, None), (2, ""), (3, " "), (3, " ")])
