@@ -108,6 +108,19 @@ def sequence_hash(h: np.ndarray) -> np.uint64:
     return out[0]
 
 
+def portions(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows with about `size` bytes in a text column, so that what is made of them is bounded."""
+    text = batch.column(column).cast(pa.large_string())
+    if not len(text):
+        return
+    at = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    i = 0
+    while i < len(text):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + size, "right")) - 1)
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def pieces(text: pa.Array, kind: bytes) -> Iterator[tuple[int, int, Words]]:
     """(first row, row after the last, their words) of a column of texts; null is the empty text."""
     text = text.cast(pa.large_string())

@@ -28,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._store import stash
-from ._words import SPACED, pieces
+from ._words import SPACED, pieces, portions
 
 KNOWN, WORDS, TOP = 1 << 18, 8191, 1023
 ARCS, LEAST, DISCOUNT = 400_000, 3, 0.75
+PORTION = 8 << 20
 END = np.uint64(0x656E64206F662074)
 _W = 14  # bits of a symbol: 0 is any other token, 1 to WORDS a word, WORDS + 1 the start
 
@@ -54,7 +55,7 @@ def _counted(h: np.ndarray, name: str) -> pa.RecordBatch:
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (p for b in batches for p in portions(b, 0, PORTION)):
         yield _counted(_hashes(b.column(0))[0], "h")
 
 
@@ -91,7 +92,7 @@ class Vocabulary:
 def _grams(vocabulary, top: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
-        for b in batches:
+        for b in (p for b in batches for p in portions(b, 0, PORTION)):
             h, first = _hashes(b.column(0))
             if len(h):
                 w = v.symbols(h)
@@ -183,7 +184,7 @@ def _score(vocabulary, automaton):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, m = vocabulary.value, automaton.value
-        for b in batches:
+        for b in (p for b in batches for p in portions(b, 2, PORTION)):
             h, first = _hashes(b.column(2))
             if not len(h):
                 continue
