@@ -21,14 +21,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from ._store import stash
-from .tokens import default_vocabulary, encoder, texts
+from .tokens import LIMIT, default_vocabulary, encoder, texts
 
 LENGTH, GROUP = 4096, 100_000
 
 
-def _pieces(vocabulary: str, length: int):
+def _pieces(vocabulary: str, length: int, cache: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(vocabulary)
+        code = encoder(vocabulary, cache)
         for b in batches:
             out = []
             for d, t in zip(b.column(0).to_pylist(), texts(b.column(1))):
@@ -80,9 +80,9 @@ def _place(length: int):
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, cache: int = LIMIT) -> DataFrame:
     """One row per piece of docs (doc_id, text), with its sequence and its place there."""
     kind = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-    pieces = stash(docs.select("doc_id", "text").mapInArrow(_pieces(vocabulary or default_vocabulary(), length), kind), "pieces")
+    pieces = stash(docs.select("doc_id", "text").mapInArrow(_pieces(vocabulary or default_vocabulary(), length, cache), kind), "pieces")
     groups = max(1, -(-pieces.count() // GROUP))
     return pieces.repartition(groups).mapInArrow(_place(length), kind + ", sequence_id bigint, offset bigint")

@@ -48,11 +48,11 @@ class _Cache(dict):
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = LIMIT):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.model, self.limit = self.tokenizer.model, limit
         self.size = self.tokenizer.get_vocab_size()
         self.pieces, self.parts = _Cache(self._piece), _Cache(self._part)
 
@@ -69,16 +69,16 @@ class Encoder:
     def ids(self, text: bytes) -> np.ndarray:
         """The ids of UTF-8 text and the end id."""
         for cache in (self.pieces, self.parts):
-            if len(cache) > LIMIT:
+            if len(cache) > self.limit:
                 cache.clear()
         out = b"".join(map(self.pieces.__getitem__, text.split()))
         return np.frombuffer(out + END.to_bytes(4, "little"), "<u4")
 
 
 @lru_cache(1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, limit: int = LIMIT) -> Encoder:
     """One encoder for each Python worker."""
-    return Encoder(path)
+    return Encoder(path, limit)
 
 
 def texts(column: pa.Array):
