@@ -33,7 +33,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences."""
-    return packing.pack(docs)
+    return packing.pack(docs, cache=150_000)  # workers also hold what earlier stages left
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_copies), ("decontamination", drop_benchmark), ("pii", mask_personal_data), ("packing", pack)]
