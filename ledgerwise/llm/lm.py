@@ -1,22 +1,23 @@
-"""Language-model scores from a weighted backoff automaton.
-
-Words and one end token per text are counted over all training rows. The counts of all tokens
-stay in a table. Of the most frequent, ``KNOWN`` counts go to every executor and ``WORDS`` are
-symbols of the automaton, with one more symbol for all other tokens together; both bounds are
-parameters. Pairs of symbols, and triples of the ``TOP`` most frequent, are counted over all
-training rows too, and the ``ARCS`` most frequent of at least ``LEAST`` occurrences kept.
-
-The automaton is a backoff model with absolute discounting: a state is a context of up to two
-symbols, an arc a kept n-gram with its discounted log-probability, and a failure arc leads to the
-next shorter context with the weight that makes each state's probabilities sum to one. The root
-has the add-one estimate of the base score, so without any pair the score is the base score. A
-batch of texts is traversed once from left to right, one lane for each text, each carrying its
-state. A token that isn't a symbol has the probability of the common symbol times its own share
-of it; where its count isn't at hand, it is joined by the token's hash.
-
-Tokens are told apart by 64-bit hashes. Defined cases: a null text is the empty text, one end
-token; a null doc_id counts as the empty string in the split; rows are scored each; without
-training rows all tokens are unknown; other columns aren't read.
+"""Language-model scores from counts of all words, pairs and triples of the training rows.
+
+Words and one end token per text are counted over all training rows, and so are all pairs and
+triples of them; none is left out, whatever its count. The model interpolates with absolute
+discounting: p(w | u v) is the discounted share of w after u v, plus the discounted mass times
+p(w | v), which is made the same way and ends in the add-one estimate of the base score. So each
+context's probabilities sum to one, and without any pair the score is the base score.
+
+Counts stay distributed. Texts are written once as portions of token codes. A portion sends each
+of its distinct n-grams, with how often its training rows hold it, to the task that the n-gram's
+context is dealt to; that task adds up what all portions sent and returns the counts to each. Then
+a portion's texts are scored by its own n-grams only. Pairs after one of the ``known`` most
+frequent tokens are dealt by the pair, so that no frequent word lands in one task; the totals of
+these contexts, `known` rows at most, go to every executor.
+
+Tokens are told apart by 63-bit hashes, or by rank where they are among the ``known`` most
+frequent. `words`, `top` and `arcs` bound an ``Automaton`` held in memory, not what is scored.
+Defined cases: a null text is the empty text, one end token; a null doc_id counts as the empty
+string in the split; rows are scored each; without training rows all tokens are unknown; other
+columns aren't read.
 """
 
 from __future__ import annotations
@@ -25,14 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ._store import stash
-from ._words import SPACED, pieces, portions
+from ._words import SPACED, mix, pieces, portions
 
 KNOWN, WORDS, TOP = 1 << 18, 8191, 1023
 ARCS, LEAST, DISCOUNT = 400_000, 3, 0.75
-PORTION = 8 << 20
+PORTION, GATHERED, TASK = 8 << 20, 4 << 20, 2_000_000
 END = np.uint64(0x656E64206F662074)
 _W = 14  # bits of a symbol: 0 is any other token, 1 to WORDS a word, WORDS + 1 the start
 
@@ -76,7 +78,8 @@ class Vocabulary:
         self.total = tokens + distinct + 1  # what add-one counts divide by
         self.hash, order = np.sort(h), np.argsort(h)
         self.count = n[order]
-        rank = order + 1
+        self.rank = rank = order + 1
+        self.by_rank = np.concatenate([[0], n])
         self.symbol = np.where(rank <= words, rank, 0).astype(np.int64)
         mass = n[:words] + 1.0
         self.root = np.concatenate([[self.total - mass.sum()], mass]) / self.total
@@ -89,23 +92,6 @@ class Vocabulary:
         return np.where(p >= 0, self.near[p] if len(self.near) else 0, 0)
 
 
-def _grams(vocabulary, top: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary.value
-        for b in (p for b in batches for p in portions(b, 0, PORTION)):
-            h, first = _hashes(b.column(0))
-            if len(h):
-                w = v.symbols(h)
-                one = np.concatenate([[v.start], w[:-1]])
-                one[first[:-1]] = v.start
-                two = np.concatenate([[0], one[:-1]])
-                small = lambda x: ((x > 0) & (x <= top)) | (x == v.start)
-                full = small(w) & small(one) & small(two) & (one != v.start)
-                yield _counted(np.concatenate([one << _W | w, (two[full] + 1) << 2 * _W | one[full] << _W | w[full]]), "g")
-
-    return run
-
-
 class Automaton:
     """keys: state << bits | symbol of each arc, sorted; logp, to: of each arc; fail, weight: of each state; root: log-probabilities."""
 
@@ -179,28 +165,184 @@ class Automaton:
         return out
 
 
-def _score(vocabulary, automaton):
-    """(doc_id, held_out, text) batches to what is known of each text here, and its tokens whose counts are elsewhere."""
+_ZSTD = pa.Codec("zstd")
+_UNSEEN, _A = np.uint64(1 << 63), np.uint64(0x9E3779B97F4A7C15)
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of integers as compressed bytes, all first bytes of a column before all second ones."""
+    body = b"".join(np.ascontiguousarray(x, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes() for x in columns)
+    return np.array([len(columns), *map(len, columns)], np.int64).tobytes() + _ZSTD.compress(body, asbytes=True)
+
+
+def _unpacked(raw: bytes) -> list[np.ndarray]:
+    sizes = np.frombuffer(raw, np.int64, np.frombuffer(raw, np.int64, 1)[0], 8)
+    body, out, at = np.frombuffer(_ZSTD.decompress(raw[8 + 8 * len(sizes) :], 8 * int(sizes.sum())), np.uint8), [], 0
+    for n in sizes.tolist():
+        out.append(np.ascontiguousarray(body[at : at + 8 * n].reshape(8, n).T).view(np.int64).ravel())
+        at += 8 * n
+    return out
+
+
+def _coded(vocabulary):
+    """(doc_id, held_out, text) batches to portions: a number, how many tokens, and ids, nulls among them, splits, where texts begin, codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, m = vocabulary.value, automaton.value
-        for b in (p for b in batches for p in portions(b, 2, PORTION)):
+        v, made = vocabulary.value, TaskContext.get().partitionId() << 32
+        for b in (p for b in batches for p in portions(b, 2, GATHERED)):
             h, first = _hashes(b.column(2))
             if not len(h):
                 continue
             at = _place(v.hash, h)
-            known = at >= 0
-            w = np.where(known, v.symbol[at] if len(v.hash) else 0, 0)
-            own = np.where(known, np.log10((v.count[at] if len(v.hash) else 0) + 1.0), 0.0)
-            text = np.repeat(np.arange(b.num_rows), np.diff(first))
-            add = lambda x: np.bincount(text, x, b.num_rows)
-            n, common = np.diff(first), add(w == 0)
-            base = add(own) - n * np.log10(v.total)
-            score = m.scores(w, first) + add(np.where(w == 0, own, 0)) - common * np.log10(v.root[0] * v.total)
-            far = np.flatnonzero(~known)
-            far = far[np.lexsort((h[far], text[far]))]
-            cut = np.searchsorted(text[far], np.arange(b.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(2)), pa.array(n), pa.array(add(known).astype(np.int64)), pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(cut), pa.array(h[far].view(np.int64)))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "far"])
+            w = np.where(at >= 0, v.rank[at] if len(v.hash) else 0, (h | _UNSEEN).view(np.int64))
+            raw = _packed(b.column(0).fill_null(0).to_numpy(), b.column(0).is_null().to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), first, w)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((made, pa.int64()), (len(h), pa.int64()), (raw, pa.binary()))], names=["portion", "tokens", "data"])
+            made += 1
+
+    return run
+
+
+def _distinct(c: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs (c, w) in order, and for each pair given its place among them."""
+    order = np.lexsort((w, c))
+    c, w = c[order], w[order]
+    new = np.ones(len(c), bool)
+    new[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
+    place = np.empty(len(c), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return c[new], w[new], place
+
+
+class Grams:
+    """Distinct n-grams of one order in a portion: contexts c, tokens w, place[i] of the i-th n-gram among them; by task: task t has order[cut[t]:cut[t + 1]]."""
+
+    def __init__(self, c: np.ndarray, w: np.ndarray, by_pair: bool, tasks: int):
+        self.c, self.w, self.place = _distinct(c, w)
+        key = mix(self.c.view(np.uint64) + _A)
+        if by_pair:
+            key = np.where(self.c >= 0, mix(key ^ self.w.view(np.uint64)), key)
+        task = (key % np.uint64(tasks)).astype(np.int64)
+        self.order = np.argsort(task, kind="stable")
+        self.cut = np.searchsorted(task[self.order], np.arange(tasks + 1))
+
+
+def _orders(w: np.ndarray, first: np.ndarray, tasks: int) -> tuple[list[Grams], list[np.ndarray]]:
+    """Unseen tokens, pairs and triples of a portion, and where the n-grams of each order end. The start of a text is code 0."""
+    one = np.concatenate([[0], w[:-1]])
+    one[first[:-1]] = 0
+    two = np.concatenate([[0], one[:-1]])
+    where = [np.flatnonzero(w < 0), np.arange(len(w)), np.flatnonzero(one != 0)]
+    u, v = two[where[2]], one[where[2]]
+    both = np.where((u >= 0) & (v >= 0), u << 31 | v, (mix(mix(u.view(np.uint64)) * _A ^ v.view(np.uint64)) | _UNSEEN).view(np.int64))
+    context = [w[where[0]], one, both]
+    token = [np.zeros(len(where[0]), np.int64), w, w[where[2]]]
+    return [Grams(c, x, k == 1, tasks) for k, (c, x) in enumerate(zip(context, token))], where
+
+
+def _asked(tasks: int):
+    """Portions to what each asks of each task: contexts, tokens and training counts of its n-grams of the three orders."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for portion, raw in ((p, d) for b in batches for p, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+            _, _, held, first, w = _unpacked(raw)
+            train = np.repeat(1 - held, np.diff(first)).astype(float)
+            orders, where = _orders(w, first, tasks)
+            count = [np.bincount(g.place, train[i], len(g.c)).astype(np.int64) for g, i in zip(orders, where)]
+            task, data = [], []
+            for t in range(tasks):
+                own = [g.order[g.cut[t] : g.cut[t + 1]] for g in orders]
+                if sum(map(len, own)):
+                    task.append(t)
+                    data.append(_packed(*(x[i] for g, n, i in zip(orders, count, own) for x in (g.c, g.w, n))))
+            yield pa.RecordBatch.from_arrays([pa.array(task, pa.int64()), pa.array([portion] * len(task), pa.int64()), pa.array(data, pa.binary())], names=["task", "portion", "data"])
+
+    return run
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is asked, sorted by task, to the answers: counts, and the total and number of kinds of each context; to portion -1, both for ranks as contexts of pairs."""
+
+    def answer(task: int, portion: list[int], asked: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        out, near = [[] for _ in portion], []
+        for k in range(3):
+            size = np.cumsum([0, *(len(a[3 * k]) for a in asked)])
+            c, w, place = _distinct(*(np.concatenate([a[3 * k + j] for a in asked]) for j in (0, 1)))
+            n = np.bincount(place, np.concatenate([a[3 * k + 2] for a in asked]), len(c)).astype(np.int64)
+            new = np.ones(len(c), bool)
+            new[1:] = c[1:] != c[:-1]
+            context, of = c[new], np.cumsum(new) - 1
+            total, kinds = (np.bincount(of, x, len(context)).astype(np.int64) for x in (n, n > 0))
+            if k == 1:
+                i = np.flatnonzero(context >= 0)
+                near = [context[i], total[i], kinds[i]]
+                total[i] = kinds[i] = 0
+            for j, o in enumerate(out):
+                p = place[size[j] : size[j + 1]]
+                o += [n[p], total[of[p]], kinds[of[p]]] if k else [n[p]]
+        rows = [*zip(portion, out), (-1, near)]
+        for i in range(0, len(rows), 64):
+            part = rows[i : i + 64]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in part], pa.int64()), pa.array([task] * len(part), pa.int64()), pa.array([_packed(*x) for _, x in part], pa.binary())], names=["portion", "task", "data"])
+
+    at, portion, asked = None, [], []
+    for b in batches:
+        for t, p, d in zip(*(b.column(c).to_pylist() for c in range(3))):
+            if t != at:
+                if portion:
+                    yield from answer(at, portion, asked)
+                at, portion, asked = t, [], []
+            portion.append(p)
+            asked.append(_unpacked(d))
+    if portion:
+        yield from answer(at, portion, asked)
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for d in b.column(0).to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _unpacked(d)], names=["c", "total", "kinds"])
+
+
+def _scored(vocabulary, near, tasks: int):
+    """Portions, each followed by its answers in the order of tasks, to the scores of its texts."""
+
+    def mixed(n: np.ndarray, total: np.ndarray, kinds: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        t = np.maximum(total, 1)
+        return np.where(total > 0, np.maximum(n - DISCOUNT, 0) / t + DISCOUNT * kinds / t * lower, lower)
+
+    def scores(data: bytes, answers: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        v, (near_total, near_kinds) = vocabulary.value, near.value
+        ids, null, held, first, w = _unpacked(data)
+        orders, where = _orders(w, first, tasks)
+        got = [np.zeros((1 if k == 0 else 3, len(g.c)), np.int64) for k, g in enumerate(orders)]
+        for t, raw in answers:
+            a = _unpacked(raw)
+            for g, x, columns in zip(orders, got, (a[:1], a[1:4], a[4:])):
+                x[:, g.order[g.cut[t] : g.cut[t + 1]]] = columns
+        count = np.where(w > 0, v.by_rank[np.maximum(w, 0)], 0)
+        count[where[0]] = got[0][0][orders[0].place]
+        p1 = (count + 1.0) / v.total
+        c, (n, total, kinds) = orders[1].c, got[1]
+        c = np.maximum(c, -1)
+        p2 = mixed(*(x[orders[1].place] for x in (n, np.where(c >= 0, near_total[c], total), np.where(c >= 0, near_kinds[c], kinds))), p1)
+        p = p2.copy()
+        p[where[2]] = mixed(*(x[orders[2].place] for x in got[2]), p2[where[2]])
+        text = np.repeat(np.arange(len(ids)), np.diff(first))
+        add = lambda x: np.bincount(text, x, len(ids))
+        return pa.RecordBatch.from_arrays([pa.array(ids, mask=null > 0), pa.array(held > 0), pa.array(np.diff(first)), pa.array(add(count > 0).astype(np.int64)), pa.array(add(np.log10(p1))), pa.array(add(np.log10(p)))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data, answers = None, []
+        for b in batches:
+            for t, d in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if t < 0:
+                    if data is not None:
+                        yield scores(data, answers)
+                    data, answers = d, []
+                else:
+                    answers.append((t, d))
+        if data is not None:
+            yield scores(data, answers)
 
     return run
 
@@ -231,14 +373,14 @@ def score(docs: DataFrame, held_out: F.Column, known: int = KNOWN, words: int =
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     v = Vocabulary(*_most_frequent(counts, "h", known), tokens, distinct, words)
     shared = spark.sparkContext.broadcast(v)
-    grams = stash(train.mapInArrow(_grams(shared, top), "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n")), "grams")
-    used = grams.where(F.col("g") < 1 << 2 * _W).groupBy(F.shiftright("g", _W).cast("int").alias("c")).agg(F.sum("n").alias("n")).toArrow()  # words + 2 rows at most
-    seen = np.ones(v.start + 1)
-    seen[used.column("c").to_numpy()] = used.column("n").to_numpy()
-    automaton = spark.sparkContext.broadcast(Automaton(v.root, v.start, *_most_frequent(grams.where(F.col("n") >= LEAST), "g", arcs), seen))
-    kind = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, far array<bigint>"
-    rows = docs.mapInArrow(_score(shared, automaton), kind).withColumn("row", F.monotonically_increasing_id())
-    rows = stash(rows, "scores")  # written, so that a row keeps its number
-    own = rows.select("row", F.explode("far").alias("h")).join(counts, "h").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("own"))
-    both, add = rows.drop("far").join(own, "row", "left"), F.coalesce("own", F.lit(0.0))
-    return both.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(tokens).cast("bigint").alias("train_tokens"), (F.col("base_score") + add).alias("base_score"), (F.col("score") + add).alias("score"))
+    kept = stash(docs.mapInArrow(_coded(shared), "portion bigint, tokens bigint, data binary"), "portions")  # written, so that a portion keeps its number
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (kept.agg(F.sum("tokens")).first()[0] or 0) // TASK + 1)
+    asked = kept.select("portion", "data").mapInArrow(_asked(tasks), "task bigint, portion bigint, data binary")
+    answers = stash(asked.repartition(tasks, "task").sortWithinPartitions("task").mapInArrow(_answers, "portion bigint, task bigint, data binary"), "answers")
+    totals = answers.where("portion < 0").select("data").mapInArrow(_near, "c bigint, total bigint, kinds bigint").groupBy("c").agg(F.sum("total").alias("total"), F.sum("kinds").alias("kinds")).toArrow()  # known + 1 rows at most
+    near = np.zeros((2, len(v.by_rank) + 1), np.int64)
+    near[:, totals.column("c").to_numpy()] = [totals.column(c).to_numpy() for c in ("total", "kinds")]
+    both = answers.where("portion >= 0").unionByName(kept.select("portion", F.lit(-1).cast("bigint").alias("task"), "data"))
+    kind = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+    rows = both.repartition(tasks, "portion").sortWithinPartitions("portion", "task").mapInArrow(_scored(shared, spark.sparkContext.broadcast(near), tasks), kind)
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -100,3 +100,36 @@ def test_traversal_equals_recursive_backoff():
         want.append(total)
     first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     assert np.allclose(m.scores(np.concatenate(texts), first), want)
+
+
+@pytest.mark.parametrize("known", [1 << 18, 20])
+def test_score_uses_every_pair_and_triple(spark, docs, rows, known):
+    """Against a model of all n-grams in dictionaries; most are seen once, and half of the words are rare."""
+    got = lm.score(docs, lm.split_of("doc_id", 7) == 2, known=known)
+    texts = [tokens(r[1]) for r in rows]
+    one, pairs, triples = Counter(), Counter(), Counter()
+    for r, t in zip(rows, texts):
+        if not held(r[0]):
+            one.update(t)
+            pairs.update(zip([None, *t], t))
+            triples.update(zip([None, *t], t, t[1:]))
+    total, d = sum(one.values()) + len(one) + 1, lm.DISCOUNT
+    after = {}
+    for c, n in [*pairs.items(), *triples.items()]:
+        at = after.setdefault(c[:-1], [0, 0])
+        at[0] += n
+        at[1] += 1
+
+    def p(context, w):
+        if not context:
+            return (one[w] + 1) / total
+        n, kinds = after.get(context, (0, 0))
+        lower = p(context[1:], w)
+        return (max((triples if len(context) > 1 else pairs)[(*context, w)] - d, 0) + d * kinds * lower) / n if n else lower
+
+    want = Counter()
+    for r, t in zip(rows, texts):
+        before = [None, *t]
+        want[(r[0], round(sum(log10(p(tuple(before[max(0, i - 1) : i + 1]), w)) for i, w in enumerate(t)), 4))] += 1
+    assert Counter((g.doc_id, round(g.score, 4)) for g in got.collect()) == want
+    assert any(held(r[0]) for r in rows) and min(triples.values()) == 1
