@@ -71,3 +71,12 @@ def test_stages_against_brute_force(spark, sf_dir):
         kept[name] = rows(docs) if k < 4 else None
     assert {r.doc_id for r in docs.collect()} == {d for d, _ in kept["pii"]}
     assert Counter((r.doc_id, r.piece) for r in corpus_pipeline.run(spark, sf_dir).collect()) == Counter((r.doc_id, r.piece) for r in docs.collect())
+
+
+def test_near_dedup_by_five_words_and_four_fifths(spark):
+    """A block added at 96/116 of five words is a copy; two words changed at 66/86 aren't, though 72/84 of three words are shared."""
+    a, b = ([f"{x}{i}" for i in range(100)] for x in "ab")
+    longer, changed = a + [f"tail{i}" for i in range(20)], [f"new{i}" if i in (25, 55) else w for i, w in enumerate(b[:80])]
+    rows = [(i, " ".join(w)) for i, w in enumerate((a, longer, b[:80], changed))]
+    left = dict(corpus_pipeline.STAGES)["near_dedup"](spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
+    assert sorted(r.doc_id for r in left.collect()) == [0, 2, 3]
