@@ -6,8 +6,10 @@ forms, adverts, notices, comments: by tag, role, class or id) weigh nothing. For
 the length of its text and its punctuation are divided by its number of blocks, links counting
 against it. Both ratios are spread over the blocks in page order and smoothed with a Gaussian,
 so a heading or a short paragraph gains from its neighbours; their geometric fusion is averaged
-for each path. Where article or main elements hold most of that text, paths outside them count a
-``OUTSIDE`` of it. Paths that reach ``LEAST`` of the page's best are content.
+for each path. Paths that reach ``LEAST`` of the page's best are content. Where article or main
+elements hold most of that text, all paths in them are content, and paths outside count a
+``OUTSIDE`` of it. Elsewhere lists and tables go with the paragraphs that they stand among, however
+short their items are, unless they consist of links.
 
 Defined cases: null and empty html give empty text; unclosed and stray tags are read as browsers
 do in the main cases (a block ends an open paragraph; an end tag closes up to its start tag or is
@@ -34,6 +36,7 @@ _RAW = frozenset("script style textarea title noscript iframe xmp noembed nofram
 #: What ends an open paragraph.
 _ENDS_P = _BLOCKS - frozenset("title option select button label textarea noscript iframe template html head body tr td th thead tbody tfoot caption legend".split())
 _SAME = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
+_LISTS = frozenset("ul ol dl table".split())
 _SCOPE = frozenset("ul ol menu dl table body article section div".split())
 #: Tags whose text is never content, wherever they stand.
 _NEVER = frozenset("head title script style nav aside footer form fieldset legend button select option label textarea noscript iframe template svg math dialog menu search xmp noembed noframes object audio video canvas".split())
@@ -155,7 +158,7 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
 
 
 def content_paths(found: list[tuple[str, str, int]]) -> set[str]:
-    """The paths whose fused and smoothed ratios reach LEAST of the best."""
+    """The paths whose fused and smoothed ratios reach LEAST of the best, and those that belong to them."""
     place: dict[str, int] = {}
     of = np.array([place.setdefault(p, len(place)) for p, _, _ in found])
     n = np.bincount(of)
@@ -169,9 +172,18 @@ def content_paths(found: list[tuple[str, str, int]]) -> set[str]:
     links = np.bincount(of, [k for *_, k in found]) / np.maximum(1, np.bincount(of, [len(t) for _, t, _ in found]))
     score = np.where(links > 0.6, 0, score)
     inside = np.array([bool({"article", "main"} & {x.partition(".")[0] for x in p.split(">")}) for p in place])
-    if 2 * long[inside].sum() > long.sum():
+    carries = 2 * long[inside].sum() > long.sum()
+    if carries:
         score = np.where(inside, score, OUTSIDE * score)
-    return {p for p, i in place.items() if score[i] > 0 and score[i] >= LEAST * score.max()}
+    keep = {p for p, i in place.items() if carries and inside[i] or score[i] > 0 and score[i] >= LEAST * score.max()}
+    around = {p.rpartition(">")[0] for p in keep}
+    return keep | {p for p, i in place.items() if links[i] <= 0.6 and _outside_lists(p) in around}
+
+
+def _outside_lists(path: str) -> str | None:
+    """The path of what holds a path's outermost list or table."""
+    names = path.split(">")
+    return next((">".join(names[:i]) for i, x in enumerate(names) if x.partition(".")[0] in _LISTS), None)
 
 
 def main_text(page: str | None) -> str:

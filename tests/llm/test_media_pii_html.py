@@ -135,6 +135,20 @@ def test_html():
     assert main_text("<p>one, two.</p><p" + " x" * 10) == "one, two."
 
 
+def test_html_keeps_long_lists_and_tables():
+    long = "<p>" + "word " * 118 + "one, two, three, four. Five, six, seven, eight.</p>"
+    inner = {
+        "list": ("<ul>" + "<li>item no some x</li>" * 20 + "</ul>", 20),
+        "table": ("<table><tr>" + "<td>cell ab</td>" * 24 + "</tr></table>", 24),
+        "links": ("<ol>" + "<li><a href='x'>A source, by someone</a></li>" * 6 + "</ol>", 6),
+    }
+    for tag in ("article", "main", 'div class="post-content"'):
+        for kind, (part, n) in inner.items():
+            for body in (f"<h1>Head</h1>{long * 4}{part}", f"<h1>Head</h1>{long * 2}{part}{long * 2}"):
+                want = 5 + (n if tag in ("article", "main") or kind != "links" else 0)
+                assert len(main_text(PAGE % f"<{tag}>{body}</{tag.split()[0]}>").split("\n")) == want, (tag, kind)
+
+
 def test_html_query(spark):
     rows = [(1, "u", PAGE % "<article><p>Only this, once.</p></article>", "clash"), (2, None, None, "c"), (2, None, None, "c"), (None, "v", "<p>" + "many words, " * 20000 + "</p>", "c")]
     got = extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")).collect()
