@@ -50,7 +50,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return setsketch.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = pii.find(docs, pii.fit(docs))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    return got.select("doc_id", *map(count, pii.BASE), F.sha2(line(F.col("base")), 256).alias("base_sha256"), line(F.concat("base", "added")).alias("spans"))
+    return got.select("doc_id", *map(count, pii.BASE), F.sha2(line(F.col("base")), 256).alias("base_sha256"), line(F.concat("base", "added")).alias("spans"), F.size(F.concat("base", "added")).cast("bigint").alias("n_spans"))
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
