@@ -6,17 +6,22 @@ discounting: p(w | u v) is the discounted share of w after u v, plus the discoun
 p(w | v), which is made the same way and ends in the add-one estimate of the base score. So each
 context's probabilities sum to one, and without any pair the score is the base score.
 
+As a backoff automaton: each context seen in training is a state, each n-gram seen an arc with its
+interpolated probability, and a state's failure arc, weighted with its discounted mass, leads to
+the state of its shorter context. Reading a text from left to right, a state without an arc for
+the next token fails until one has it; the root has an arc for every token.
+
 Counts stay distributed. Texts are written once as portions of token codes. A portion sends each
 of its distinct n-grams, with how often its training rows hold it, to the task that the n-gram's
 context is dealt to; that task adds up what all portions sent and returns the counts to each. Then
-a portion's texts are scored by its own n-grams only. Pairs after one of the ``known`` most
-frequent tokens are dealt by the pair, so that no frequent word lands in one task; the totals of
-these contexts, `known` rows at most, go to every executor.
+a portion's texts run through the part of the automaton that its own n-grams reach. Pairs after
+one of the ``known`` most frequent tokens are dealt by the pair, so that no frequent word lands in
+one task; the totals of these contexts, `known` rows at most, go to every executor.
 
 Tokens are told apart by 63-bit hashes, or by rank where they are among the ``known`` most
-frequent. `words`, `top` and `arcs` bound an ``Automaton`` held in memory, not what is scored.
-Defined cases: a null text is the empty text, one end token; a null doc_id counts as the empty
-string in the split; rows are scored each; without training rows all tokens are unknown; other
+frequent. Defined cases: a null text is the empty text, one end token; a null doc_id counts as
+the empty string in the split; rows are scored each, equal texts alike; a very long text is a
+portion of its own; without training rows all tokens are unknown; no rows give no result; other
 columns aren't read.
 """
 
@@ -29,14 +34,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ._store import stash
+from ._store import release, stash
 from ._words import SPACED, mix, pieces, portions
 
-KNOWN, WORDS, TOP = 1 << 18, 8191, 1023
-ARCS, LEAST, DISCOUNT = 400_000, 3, 0.75
+KNOWN, DISCOUNT, LANE = 1 << 18, 0.75, 256
 PORTION, GATHERED, TASK = 8 << 20, 4 << 20, 2_000_000
 END = np.uint64(0x656E64206F662074)
-_W = 14  # bits of a symbol: 0 is any other token, 1 to WORDS a word, WORDS + 1 the start
 
 
 def _hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -70,117 +73,40 @@ def _place(table: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    """The most frequent tokens: sorted hashes, with the count and the symbol of each."""
+    """The most frequent tokens: sorted hashes, with the count and the rank of each."""
 
-    def __init__(self, h: np.ndarray, n: np.ndarray, tokens: int, distinct: int, words: int):
+    def __init__(self, h: np.ndarray, n: np.ndarray, tokens: int, distinct: int):
         order = np.lexsort((h, -n))
         h, n = h[order].view(np.uint64), n[order]
         self.total = tokens + distinct + 1  # what add-one counts divide by
         self.hash, order = np.sort(h), np.argsort(h)
-        self.count = n[order]
-        self.rank = rank = order + 1
+        self.rank = order + 1
         self.by_rank = np.concatenate([[0], n])
-        self.symbol = np.where(rank <= words, rank, 0).astype(np.int64)
-        mass = n[:words] + 1.0
-        self.root = np.concatenate([[self.total - mass.sum()], mass]) / self.total
-        self.start = words + 1
-        near = self.symbol > 0
-        self.near_hash, self.near = self.hash[near], self.symbol[near]
-
-    def symbols(self, h: np.ndarray) -> np.ndarray:
-        p = _place(self.near_hash, h)
-        return np.where(p >= 0, self.near[p] if len(self.near) else 0, 0)
-
-
-class Automaton:
-    """keys: state << bits | symbol of each arc, sorted; logp, to: of each arc; fail, weight: of each state; root: log-probabilities."""
-
-    def __init__(self, root: np.ndarray, start: int, grams: np.ndarray, count: np.ndarray, seen: np.ndarray):
-        """grams, count: the kept n-grams; seen: how often each symbol is a context."""
-        self.start, self.root = start + 1, np.log10(root)
-        states, mask = start + 2, (1 << _W) - 1  # the root, then a state for each symbol as a context
-        order = np.argsort(grams)
-        grams, count = grams[order], count[order].astype(float)
-        pair = grams < 1 << 2 * _W
-        two, n2, three, n3 = grams[pair], count[pair], grams[~pair], count[~pair]
-        context = ((three >> 2 * _W) - 1) << _W | (three >> _W) & mask
-        at = _place(two, context)
-        three, n3, context, at = three[at >= 0], n3[at >= 0], context[at >= 0], at[at >= 0]
-        longer = np.unique(context)
-
-        def spread(state: np.ndarray, k: int, p: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Arc probabilities, and the weight of each state's failure arc."""
-            out, under = np.bincount(state, p, k), np.bincount(state, lower, k)
-            full = under >= 1 - 1e-9  # every symbol has an arc, so nothing is left to fail for
-            return np.where(full[state], p / out[state], p), np.where(full, 1e-12, np.maximum(1 - out, 1e-12) / np.maximum(1 - under, 1e-12))
-
-        a, b = two >> _W, two & mask
-        p2, bow = spread(a + 1, states, (n2 - DISCOUNT) / seen[a], root[b])
-        b3, c3 = (three >> _W) & mask, three & mask
-        back = _place(two, b3 << _W | c3)
-        lower = np.where(back >= 0, p2[back] if len(p2) else 0, bow[b3 + 1] * root[c3])
-        own = np.searchsorted(longer, context)
-        p3, bow3 = spread(own, len(longer), (n3 - DISCOUNT) / (n2[at] if len(n2) else 1), lower)
-        self.weight = np.log10(np.concatenate([bow, bow3]))
-        self.fail = np.concatenate([np.zeros(states, np.int64), (longer & mask) + 1])
-
-        def to(b: np.ndarray, c: np.ndarray) -> np.ndarray:
-            x = _place(longer, b << _W | c)
-            return np.where(x >= 0, states + x, c + 1)
-
-        keys = np.concatenate([(a + 1) << _W | b, (states + own) << _W | c3])
-        order = np.argsort(keys)
-        self.keys, self.logp = keys[order], np.log10(np.concatenate([p2, p3]))[order]
-        self.to = np.concatenate([to(a, b), to(b3, c3)])[order]
-
-    def step(self, state: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The log-probability of each lane's symbol and its next state."""
-        score, state, lanes = np.zeros(len(w)), state.copy(), np.arange(len(w))
-        while len(lanes):
-            s, x = state[lanes], w[lanes]
-            done = s == 0
-            at = _place(self.keys, s << _W | x)
-            hit = (at >= 0) & ~done
-            end = lanes[done]
-            score[end] += self.root[w[end]]
-            state[end] = w[end] + 1
-            score[lanes[hit]] += self.logp[at[hit]] if len(self.logp) else 0
-            state[lanes[hit]] = self.to[at[hit]] if len(self.to) else 0
-            lanes = lanes[~done & ~hit]
-            score[lanes] += self.weight[state[lanes]]
-            state[lanes] = self.fail[state[lanes]]
-        return score, state
-
-    def scores(self, w: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The log10 probability of each text's symbols."""
-        size = np.diff(first)
-        order = np.argsort(-size, kind="stable")
-        begin, active = first[:-1][order], np.searchsorted(-size[order], -np.arange(size.max(initial=0)))
-        score, state = np.zeros(len(size)), np.full(len(size), self.start, np.int64)
-        for t, n in enumerate(active):
-            gain, state[:n] = self.step(state[:n], w[begin[:n] + t])
-            score[:n] += gain
-        out = np.empty(len(size))
-        out[order] = score
-        return out
 
 
 _ZSTD = pa.Codec("zstd")
-_UNSEEN, _A = np.uint64(1 << 63), np.uint64(0x9E3779B97F4A7C15)
+_UNSEEN, _A, _MASK = np.uint64(1 << 63), np.uint64(0x9E3779B97F4A7C15), (1 << 32) - 1
 
 
 def _packed(*columns: np.ndarray) -> bytes:
-    """Columns of integers as compressed bytes, all first bytes of a column before all second ones."""
-    body = b"".join(np.ascontiguousarray(x, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes() for x in columns)
-    return np.array([len(columns), *map(len, columns)], np.int64).tobytes() + _ZSTD.compress(body, asbytes=True)
+    """Columns of integers as compressed bytes: of each as many bytes as its values need, all first bytes before all second ones."""
+    head, body = [len(columns)], []
+    for x in columns:
+        x = np.ascontiguousarray(x, np.int64)
+        width = 0 if not len(x) or not x.any() else 8 if x.min() < 0 else (int(x.max()).bit_length() + 7) // 8
+        head += [len(x), width]
+        body.append(x.view(np.uint8).reshape(-1, 8).T[:width].tobytes())
+    return np.array(head, "<i4").tobytes() + _ZSTD.compress(b"".join(body), asbytes=True)
 
 
 def _unpacked(raw: bytes) -> list[np.ndarray]:
-    sizes = np.frombuffer(raw, np.int64, np.frombuffer(raw, np.int64, 1)[0], 8)
-    body, out, at = np.frombuffer(_ZSTD.decompress(raw[8 + 8 * len(sizes) :], 8 * int(sizes.sum())), np.uint8), [], 0
-    for n in sizes.tolist():
-        out.append(np.ascontiguousarray(body[at : at + 8 * n].reshape(8, n).T).view(np.int64).ravel())
-        at += 8 * n
+    sizes = np.frombuffer(raw, "<i4", 2 * int(np.frombuffer(raw, "<i4", 1)[0]), 4).astype(np.int64).reshape(-1, 2)
+    body, out, at = np.frombuffer(_ZSTD.decompress(raw[4 + 8 * len(sizes) :], int(sizes.prod(1).sum())), np.uint8), [], 0
+    for n, width in sizes.tolist():
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :width] = body[at : at + n * width].reshape(width, n).T
+        out.append(x.view(np.int64).ravel())
+        at += n * width
     return out
 
 
@@ -202,59 +128,70 @@ def _coded(vocabulary):
     return run
 
 
-def _distinct(c: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct pairs (c, w) in order, and for each pair given its place among them."""
-    order = np.lexsort((w, c))
-    c, w = c[order], w[order]
-    new = np.ones(len(c), bool)
-    new[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
-    place = np.empty(len(c), np.int64)
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and for each value given its place among them."""
+    order = np.argsort(x)
+    x = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    place = np.empty(len(x), np.int64)
     place[order] = np.cumsum(new) - 1
-    return c[new], w[new], place
+    return x[new], place
 
 
 class Grams:
-    """Distinct n-grams of one order in a portion: contexts c, tokens w, place[i] of the i-th n-gram among them; by task: task t has order[cut[t]:cut[t + 1]]."""
+    """Distinct n-grams of one order in a portion, by context: contexts c, the context `of` and the token w of each n-gram; the n-gram at position where[i] is place[i]. They are dealt to tasks by context, or by themselves."""
 
-    def __init__(self, c: np.ndarray, w: np.ndarray, by_pair: bool, tasks: int):
-        self.c, self.w, self.place = _distinct(c, w)
-        key = mix(self.c.view(np.uint64) + _A)
+    def __init__(self, c: np.ndarray, of: np.ndarray, w: np.ndarray, where: np.ndarray, place: np.ndarray, by_pair: bool, tasks: int):
+        self.c, self.of, self.w, self.where, self.place = c, of, w, where, place
+        key = mix(c.view(np.uint64) + _A)[of]
         if by_pair:
-            key = np.where(self.c >= 0, mix(key ^ self.w.view(np.uint64)), key)
-        task = (key % np.uint64(tasks)).astype(np.int64)
-        self.order = np.argsort(task, kind="stable")
-        self.cut = np.searchsorted(task[self.order], np.arange(tasks + 1))
-
-
-def _orders(w: np.ndarray, first: np.ndarray, tasks: int) -> tuple[list[Grams], list[np.ndarray]]:
-    """Unseen tokens, pairs and triples of a portion, and where the n-grams of each order end. The start of a text is code 0."""
-    one = np.concatenate([[0], w[:-1]])
-    one[first[:-1]] = 0
-    two = np.concatenate([[0], one[:-1]])
-    where = [np.flatnonzero(w < 0), np.arange(len(w)), np.flatnonzero(one != 0)]
-    u, v = two[where[2]], one[where[2]]
+            key = np.where(c[of] >= 0, mix(key ^ w.view(np.uint64)), key)
+        order = np.sort((key % np.uint64(tasks)).astype(np.int64) << 32 | np.arange(len(of)))
+        self.task, self.order = order >> 32, order & _MASK
+
+    def dealt(self, task: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The n-grams of a task, their contexts and how many each has."""
+        own = self.order[slice(*np.searchsorted(self.task, [task, task + 1]))]
+        lead = np.flatnonzero(np.diff(self.of[own], prepend=-1))
+        return own, self.of[own[lead]], np.diff(lead, append=len(own))
+
+
+def _orders(w: np.ndarray, first: np.ndarray, tasks: int) -> list[Grams]:
+    """Unseen tokens, pairs and triples of a portion. The start of a text is code 0."""
+    codes, token = _distinct(w)
+    unseen, at = int(np.searchsorted(codes, 0)), np.flatnonzero(w < 0)
+    one = Grams(codes[:unseen], np.arange(unseen), np.zeros(unseen, np.int64), at, token[at], False, tasks)
+    before = np.concatenate([[0], token[:-1] + 1])
+    before[first[:-1]] = 0
+    key, place = _distinct(before << 32 | token)
+    context, of = _distinct(key >> 32)
+    two = Grams(np.concatenate([[0], codes])[context], of, codes[key & _MASK], np.arange(len(w)), place, True, tasks)
+    at = np.flatnonzero(before)
+    key, place3 = _distinct(place[at - 1] << 32 | token[at])  # the pair before a token is its context
+    pair, of = _distinct(key >> 32)
+    u, v = two.c[two.of[pair]], two.w[pair]
     both = np.where((u >= 0) & (v >= 0), u << 31 | v, (mix(mix(u.view(np.uint64)) * _A ^ v.view(np.uint64)) | _UNSEEN).view(np.int64))
-    context = [w[where[0]], one, both]
-    token = [np.zeros(len(where[0]), np.int64), w, w[where[2]]]
-    return [Grams(c, x, k == 1, tasks) for k, (c, x) in enumerate(zip(context, token))], where
+    return [one, two, Grams(both, of, codes[key & _MASK], at, place3, False, tasks)]
 
 
 def _asked(tasks: int):
-    """Portions to what each asks of each task: contexts, tokens and training counts of its n-grams of the three orders."""
+    """Portions to what each asks of each task: contexts, their numbers of n-grams, tokens and training counts, for the three orders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for portion, raw in ((p, d) for b in batches for p, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
             _, _, held, first, w = _unpacked(raw)
             train = np.repeat(1 - held, np.diff(first)).astype(float)
-            orders, where = _orders(w, first, tasks)
-            count = [np.bincount(g.place, train[i], len(g.c)).astype(np.int64) for g, i in zip(orders, where)]
-            task, data = [], []
-            for t in range(tasks):
-                own = [g.order[g.cut[t] : g.cut[t + 1]] for g in orders]
-                if sum(map(len, own)):
-                    task.append(t)
-                    data.append(_packed(*(x[i] for g, n, i in zip(orders, count, own) for x in (g.c, g.w, n))))
-            yield pa.RecordBatch.from_arrays([pa.array(task, pa.int64()), pa.array([portion] * len(task), pa.int64()), pa.array(data, pa.binary())], names=["task", "portion", "data"])
+            orders = _orders(w, first, tasks)
+            count = [np.bincount(g.place, train[g.where], len(g.w)).astype(np.int64) for g in orders]
+            task, data = np.unique(np.concatenate([g.task for g in orders])), []
+            for t in task.tolist():
+                columns = []
+                for g, n in zip(orders, count):
+                    own, context, size = g.dealt(t)
+                    columns += [g.c[context], size, g.w[own], n[own]]
+                data.append(_packed(*columns))
+            yield pa.RecordBatch.from_arrays([pa.array(task), pa.array([portion] * len(task), pa.int64()), pa.array(data, pa.binary())], names=["task", "portion", "data"])
 
     return run
 
@@ -265,20 +202,20 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def answer(task: int, portion: list[int], asked: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         out, near = [[] for _ in portion], []
         for k in range(3):
-            size = np.cumsum([0, *(len(a[3 * k]) for a in asked)])
-            c, w, place = _distinct(*(np.concatenate([a[3 * k + j] for a in asked]) for j in (0, 1)))
-            n = np.bincount(place, np.concatenate([a[3 * k + 2] for a in asked]), len(c)).astype(np.int64)
-            new = np.ones(len(c), bool)
-            new[1:] = c[1:] != c[:-1]
-            context, of = c[new], np.cumsum(new) - 1
-            total, kinds = (np.bincount(of, x, len(context)).astype(np.int64) for x in (n, n > 0))
+            c, size, w, count = (np.concatenate([a[4 * k + j] for a in asked]) for j in range(4))
+            ends, grams = (np.cumsum([0, *(len(a[4 * k + j]) for a in asked)]) for j in (0, 2))
+            c, of = _distinct(c)
+            _, w = _distinct(w)
+            key, place = _distinct(np.repeat(of, size) << 32 | w)
+            n = np.bincount(place, count, len(key)).astype(np.int64)
+            total, kinds = (np.bincount(key >> 32, x, len(c)).astype(np.int64) for x in (n, n > 0))
             if k == 1:
-                i = np.flatnonzero(context >= 0)
-                near = [context[i], total[i], kinds[i]]
+                i = np.flatnonzero(c >= 0)
+                near = [c[i], total[i], kinds[i]]
                 total[i] = kinds[i] = 0
             for j, o in enumerate(out):
-                p = place[size[j] : size[j + 1]]
-                o += [n[p], total[of[p]], kinds[of[p]]] if k else [n[p]]
+                p, q = place[grams[j] : grams[j + 1]], of[ends[j] : ends[j + 1]]
+                o += [n[p], total[q], kinds[q]] if k else [n[p]]
         rows = [*zip(portion, out), (-1, near)]
         for i in range(0, len(rows), 64):
             part = rows[i : i + 64]
@@ -303,33 +240,113 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in _unpacked(d)], names=["c", "total", "kinds"])
 
 
-def _scored(vocabulary, near, tasks: int):
-    """Portions, each followed by its answers in the order of tasks, to the scores of its texts."""
-
-    def mixed(n: np.ndarray, total: np.ndarray, kinds: np.ndarray, lower: np.ndarray) -> np.ndarray:
+class Automaton:
+    """The part of the backoff automaton that a portion's n-grams reach.
+
+    State 0 is the root, then come contexts of one token and of two. fail, weight: of each state's
+    failure arc. source, logp, to: of each arc, pairs before triples, source -1 where training has no
+    such n-gram. before: the state in which each position is read, which two tokens determine.
+    """
+
+    def __init__(self, first: np.ndarray, orders: list[Grams], p1: np.ndarray, got: list[list[np.ndarray]]):
+        """p1: the root's probability of each position's token; got: counts of the distinct pairs and triples, and totals and kinds of their contexts."""
+        _, two, three = orders
+        (n2, t2, k2), (n3, t3, k3) = got
+        live2, state2 = self._states(t2, 1)
+        live3, state3 = self._states(t3, 1 + len(live2))
+        own = two.of[two.place]  # the context of one token before each position
+        shorter = np.zeros(len(three.c), np.int64)
+        shorter[three.of[three.place]] = state2[own[three.where]]
+        self.fail = np.concatenate([np.zeros(1 + len(live2), np.int64), shorter[live3]])
+        self.weight = np.log10(np.concatenate([[1.0], DISCOUNT * k2[live2] / t2[live2], DISCOUNT * k3[live3] / t3[live3]]))
+        self.before = state2[own]
+        self.before[three.where] = np.where(state3 > 0, state3, shorter)[three.of[three.place]]
+
+        lower = np.zeros(len(two.w))
+        lower[two.place] = p1
+        p2 = self._mixed(n2, t2[two.of], k2[two.of], lower)
+        lower = np.zeros(len(three.w))
+        lower[three.place] = p2[two.place[three.where]]
+        self.logp1, self.logp = np.log10(p1), np.log10(np.concatenate([p2, self._mixed(n3, t3[three.of], k3[three.of], lower), [1.0]]))
+        self.source = np.concatenate([np.where(n2 > 0, state2[two.of], -1), np.where(n3 > 0, state3[three.of], -1), [-1]])
+        self.arc2, self.arc3 = two.place, np.full(len(two.place), len(self.source) - 1)
+        self.arc3[three.where] = len(two.w) + three.place
+        inner = np.ones(len(own), bool)
+        inner[first[1:] - 1] = False  # after a text's end comes nothing
+        inner = np.flatnonzero(inner)
+        self.to, self.to1 = np.zeros(len(self.source), np.int64), np.append(state2[own[1:]], 0)
+        self.to[self.arc2[inner]] = self.to[self.arc3[inner]] = self.before[inner + 1]
+        self.first = first
+
+    @staticmethod
+    def _states(total: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+        """The contexts that training holds, and the state of each context, 0 without one."""
+        live, state = np.flatnonzero(total > 0), np.zeros(len(total), np.int64)
+        state[live] = base + np.arange(len(live))
+        return live, state
+
+    @staticmethod
+    def _mixed(n: np.ndarray, total: np.ndarray, kinds: np.ndarray, lower: np.ndarray) -> np.ndarray:
         t = np.maximum(total, 1)
         return np.where(total > 0, np.maximum(n - DISCOUNT, 0) / t + DISCOUNT * kinds / t * lower, lower)
 
+    def step(self, state: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log-probability of the token at each lane's position, and the lane's next state."""
+        arc = self.arc3[at]
+        hit = self.source[arc] == state
+        gain, new = np.where(hit, self.logp[arc], 0.0), self.to[arc]
+        left = np.flatnonzero(~hit)
+        at, state = at[left], state[left]
+        long = self.fail[state] > 0  # a state of two tokens
+        gain[left] += np.where(long, self.weight[state], 0.0)
+        state = np.where(long, self.fail[state], state)
+        arc = self.arc2[at]
+        hit = self.source[arc] == state
+        gain[left] += np.where(hit, self.logp[arc], self.weight[state] + self.logp1[at])
+        new[left] = np.where(hit, self.to[arc], self.to1[at])
+        return gain, new
+
+    def scores(self) -> np.ndarray:
+        """The log10 probability of each text, from left to right; a long text runs as several lanes, each from the state that the one before it ends in."""
+        size = np.diff(self.first)
+        runs = -(-size // LANE)
+        text = np.repeat(np.arange(len(size)), runs)
+        begin = self.first[:-1][text] + LANE * (np.arange(len(text)) - np.repeat(np.cumsum(runs) - runs, runs))
+        size = np.minimum(LANE, self.first[1:][text] - begin)
+        order = np.argsort(-size, kind="stable")
+        begin, size, text = begin[order], size[order], text[order]
+        active = np.searchsorted(-size, -np.arange(size.max(initial=0)))
+        score, state = np.zeros(len(text)), self.before[begin]
+        for t, n in enumerate(active.tolist()):
+            gain, state[:n] = self.step(state[:n], begin[:n] + t)
+            score[:n] += gain
+        return np.bincount(text, score, len(self.first) - 1)
+
+
+def _scored(vocabulary, near, tasks: int):
+    """Portions, each followed by its answers in the order of tasks, to the scores of its texts."""
+
     def scores(data: bytes, answers: list[tuple[int, bytes]]) -> pa.RecordBatch:
         v, (near_total, near_kinds) = vocabulary.value, near.value
         ids, null, held, first, w = _unpacked(data)
-        orders, where = _orders(w, first, tasks)
-        got = [np.zeros((1 if k == 0 else 3, len(g.c)), np.int64) for k, g in enumerate(orders)]
+        orders = _orders(w, first, tasks)
+        got = [[np.zeros(len(g.w), np.int64), *np.zeros((2, len(g.c)), np.int64)] for g in orders]
         for t, raw in answers:
             a = _unpacked(raw)
             for g, x, columns in zip(orders, got, (a[:1], a[1:4], a[4:])):
-                x[:, g.order[g.cut[t] : g.cut[t + 1]]] = columns
+                grams, context, _ = g.dealt(t)
+                for part, i, column in zip(x, (grams, context, context), columns):
+                    part[i] = column
         count = np.where(w > 0, v.by_rank[np.maximum(w, 0)], 0)
-        count[where[0]] = got[0][0][orders[0].place]
+        count[orders[0].where] = got[0][0][orders[0].place]
         p1 = (count + 1.0) / v.total
-        c, (n, total, kinds) = orders[1].c, got[1]
-        c = np.maximum(c, -1)
-        p2 = mixed(*(x[orders[1].place] for x in (n, np.where(c >= 0, near_total[c], total), np.where(c >= 0, near_kinds[c], kinds))), p1)
-        p = p2.copy()
-        p[where[2]] = mixed(*(x[orders[2].place] for x in got[2]), p2[where[2]])
+        c = orders[1].c
+        for x, known in zip(got[1][1:], (near_total, near_kinds)):
+            x[c >= 0] = known[c[c >= 0]]
+        own = Automaton(first, orders, p1, got[1:])
         text = np.repeat(np.arange(len(ids)), np.diff(first))
         add = lambda x: np.bincount(text, x, len(ids))
-        return pa.RecordBatch.from_arrays([pa.array(ids, mask=null > 0), pa.array(held > 0), pa.array(np.diff(first)), pa.array(add(count > 0).astype(np.int64)), pa.array(add(np.log10(p1))), pa.array(add(np.log10(p)))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, mask=null > 0), pa.array(held > 0), pa.array(np.diff(first)), pa.array(add(count > 0).astype(np.int64)), pa.array(add(own.logp1)), pa.array(own.scores())], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, answers = None, []
@@ -364,14 +381,15 @@ def _most_frequent(counts: DataFrame, key: str, bound: int) -> tuple[np.ndarray,
     return got.column(key).to_numpy(), got.column("n").to_numpy()
 
 
-def score(docs: DataFrame, held_out: F.Column, known: int = KNOWN, words: int = WORDS, top: int = TOP, arcs: int = ARCS) -> DataFrame:
+def score(docs: DataFrame, held_out: F.Column, known: int = KNOWN) -> DataFrame:
     """One row per row of docs (doc_id, text), scored by a model of the rows that aren't held out."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", held_out.alias("held_out"), "text")
     train = docs.where("NOT held_out").select("text")
     counts = stash(train.mapInArrow(_tokens, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")), "counts")
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    v = Vocabulary(*_most_frequent(counts, "h", known), tokens, distinct, words)
+    v = Vocabulary(*_most_frequent(counts, "h", known), tokens, distinct)
+    release(counts)
     shared = spark.sparkContext.broadcast(v)
     kept = stash(docs.mapInArrow(_coded(shared), "portion bigint, tokens bigint, data binary"), "portions")  # written, so that a portion keeps its number
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (kept.agg(F.sum("tokens")).first()[0] or 0) // TASK + 1)

@@ -19,9 +19,9 @@ def held(d):
     return zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
 
 
-@pytest.mark.parametrize("known,words", [(1 << 19, 8191), (20, 9), (1, 1)])
-def test_base_score_and_counts(spark, docs, rows, known, words):
-    got = lm.score(docs, lm.split_of("doc_id", 7) == 2, known=known, words=words, top=5).collect()
+@pytest.mark.parametrize("known", [1 << 19, 20, 1])
+def test_base_score_and_counts(spark, docs, rows, known):
+    got = lm.score(docs, lm.split_of("doc_id", 7) == 2, known=known).collect()
     c = Counter(t for r in rows if not held(r[0]) for t in tokens(r[1]))
     n = sum(c.values())
     want = Counter()
@@ -29,10 +29,9 @@ def test_base_score_and_counts(spark, docs, rows, known, words):
         t = tokens(r[1])
         want[(r[0], held(r[0]), len(t), sum(c[x] > 0 for x in t), n, round(sum(log10((c[x] + 1) / (n + len(c) + 1)) for x in t), 5))] += 1
     assert Counter((g.doc_id, g.held_out, g.n_tokens, g.n_known, g.train_tokens, round(g.base_score, 5)) for g in got) == want
-    again = Counter((g.doc_id, round(g.score, 6)) for g in lm.score(docs.repartition(5), lm.split_of("doc_id", 7) == 2, known=known, words=words, top=5).collect())
+    again = Counter((g.doc_id, round(g.score, 6)) for g in lm.score(docs.repartition(5), lm.split_of("doc_id", 7) == 2, known=known).collect())
     assert again == Counter((g.doc_id, round(g.score, 6)) for g in got)
-    if words > 100:
-        assert sum(g.score for g in got) > sum(g.base_score for g in got)
+    assert sum(g.score for g in got) > sum(g.base_score for g in got)
 
 
 def test_without_training_rows(spark, docs):
@@ -41,65 +40,59 @@ def test_without_training_rows(spark, docs):
     assert lm.score(docs.limit(0), F.lit(False)).count() == 0
 
 
-def model(seed=4, words=6):
+def portion(seed=4, words=6, texts=200):
+    """An automaton of random texts, half of them training, with its n-grams counted in dictionaries."""
     rng = np.random.default_rng(seed)
-    texts = [rng.choice(words + 1, rng.integers(1, 12), p=np.r_[0.1, np.full(words, 0.9 / words)]).tolist() for _ in range(300)]
-    start = words + 1
-    pairs, triples, one = Counter(), Counter(), Counter()
-    for t in texts:
-        one.update(t)
-        pairs.update(zip([start, *t], t))
-        triples.update((a, b, c) for a, b, c in zip([start, *t], t, t[1:]) if min(a, b, c) > 0)
-    root = np.array([one[i] + 1.0 for i in range(words + 1)])
-    root /= root.sum()
-    pairs = Counter({k: n for k, n in pairs.items() if n >= 3})
-    seen = Counter()
-    for t in texts:
-        seen.update([start, *t][: len(t)])
-    ends = Counter(t[-1] for t in texts)
-    grams = [(a << lm._W | b, n) for (a, b), n in pairs.items()]
-    # a context that ends texts has fewer successors than occurrences; in the corpus only the end token does
-    triples = {k: n for k, n in triples.items() if n >= 3 and k[:2] in pairs and ends[k[1]] >= 0}
-    grams += [((a + 1) << 2 * lm._W | b << lm._W | c, n) for (a, b, c), n in triples.items()]
-    g, n = (np.array([x[i] for x in grams], np.int64) for i in (0, 1))
-    return lm.Automaton(root, start, g, n, np.array([seen[i] or 1 for i in range(start + 1)], float)), root, start, texts
-
-
-def test_each_state_is_a_distribution():
-    m, root, start, _ = model()
-    n = len(root)
-    assert len(m.fail) > start + 2
-    for s in range(len(m.fail)):
-        lp, to = m.step(np.full(n, s), np.arange(n))
-        assert abs((10**lp).sum() - 1) < 1e-9
-        assert (to > 0).all()
-
-
-def test_traversal_equals_recursive_backoff():
-    m, root, start, texts = model()
-    arcs = dict(zip(m.keys.tolist(), m.logp.tolist()))
-
-    def one(state, w):
-        if state == 0:
-            return m.root[w]
-        k = state << lm._W | w
-        return arcs[k] if k in arcs else m.weight[state] + one(m.fail[state], w)
-
-    to = dict(zip(m.keys.tolist(), m.to.tolist()))
-
-    def go(state, w):
-        k = state << lm._W | w
-        return w + 1 if state == 0 else to[k] if k in to else go(m.fail[state], w)
-
-    want = []
-    for t in texts:
-        s, total = start + 1, 0.0
-        for w in t:
-            total += one(s, w)
-            s = go(s, w)
-        want.append(total)
-    first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    assert np.allclose(m.scores(np.concatenate(texts), first), want)
+    size = rng.integers(1, 40, texts)
+    size[3] = 3 * lm.LANE + 5
+    first = np.concatenate([[0], np.cumsum(size)])
+    w = rng.integers(1, words + 1, first[-1])
+    w[first[1:] - 1] = words + 1  # the end
+    w[rng.random(len(w)) < 0.1] = -5  # a token beyond the known ones
+    orders = lm._orders(w, first, 3)
+    train = np.repeat(np.arange(texts) % 2, size).astype(float)
+    got = []
+    for g in orders[1:]:
+        n = np.bincount(g.place, train[g.where], len(g.w)).astype(np.int64)
+        got.append([n, *(np.bincount(g.of, x, len(g.c)).astype(np.int64) for x in (n, n > 0))])
+    one = Counter(w[train > 0].tolist())
+    p1 = np.array([one[x] + 1 for x in w.tolist()]) / (sum(one.values()) + len(one) + 1)
+    return lm.Automaton(first, orders, p1, got), w, p1
+
+
+def test_states_carried_from_left_to_right():
+    """The states of the traversal are those that the last two tokens name, and lanes don't change scores."""
+    m, w, _ = portion()
+    assert m.before.max() == len(m.fail) - 1 and (m.fail > 0).any() and (m.weight[1:] < 0).all()
+    total = []
+    for a, z in zip(m.first[:-1], m.first[1:]):
+        state, score = m.before[a : a + 1], 0.0
+        for i in range(a, z):
+            assert state[0] == m.before[i]
+            gain, state = m.step(state, np.array([i]))
+            score += gain[0]
+        total.append(score)
+    assert np.allclose(m.scores(), total)
+
+
+def test_columns_are_packed_without_loss():
+    rng = np.random.default_rng(5)
+    columns = [rng.integers(-(1 << 63), 1 << 62, 50), np.zeros(7, np.int64), np.zeros(0, np.int64), rng.integers(0, 300, 9), np.array([(1 << 63) - 1, 0])]
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(lm._unpacked(lm._packed(*columns)), columns))
+
+
+def test_failure_arcs_give_the_interpolated_model():
+    m, w, p1 = portion(seed=9)
+
+    def p(state, i):
+        """By following failure arcs from a state until it has an arc for the token at i."""
+        for arc in (m.arc3[i], m.arc2[i]):
+            if m.source[arc] == state:
+                return m.logp[arc]
+        return m.weight[state] + p(m.fail[state], i) if state else np.log10(p1[i])
+
+    want = [sum(p(m.before[i], i) for i in range(a, z)) for a, z in zip(m.first[:-1], m.first[1:])]
+    assert np.allclose(m.scores(), want)
 
 
 @pytest.mark.parametrize("known", [1 << 18, 20])
