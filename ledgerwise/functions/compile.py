@@ -44,6 +44,7 @@ class Scope:
     entities: frozenset[str] = frozenset()
     fiscal_month: int = 4
     flags: dict[Node, str] = field(default_factory=dict)
+    frame: DataFrame | None = None
 
     def __post_init__(self):
         self.columns = {f.name.lower(): f for f in self.schema.fields}
@@ -202,6 +203,8 @@ class Compiler:
         return Value(~self.fn_isempty(x).column, "bool")
 
     def _extreme(self, f, x: Value, by: tuple[Value, ...]) -> Value:
+        if not by and self.scope.frame is not None:  # one aggregate over all rows, not a window in one task
+            return Value(self.scope.frame.agg(f(x.column).alias("x")).scalar(), x.type)
         return Value(f(x.column).over(Window.partitionBy(*(b.column for b in by))), x.type)
 
     def fn_max(self, x: Value, *by: Value) -> Value:
@@ -327,4 +330,4 @@ class Compiler:
 
 def formula(df: DataFrame, text: str, parameters: Mapping[str, object] | None = None, business_date: dt.date | None = None, **scope) -> Column:
     """The column of a formula over df."""
-    return Compiler(Scope(df.schema, parameters or {}, business_date, **scope)).value(parse(text)).column
+    return Compiler(Scope(df.schema, parameters or {}, business_date, frame=df, **scope)).value(parse(text)).column

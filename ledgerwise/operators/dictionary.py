@@ -6,6 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.arrow import each
+from .steps import numbered
+
 KEY = ("entity_name", "column_name", "effective_start_date")
 SIGNATURE = ("entity_name", "column_name", "expression", "column_type", "derivation_option", "status", "data_type", "decision_table_json", "conditional_json")
 RULE = ("entity_name", "column_name", "derivation_option", "expression", "decision_table_json", "conditional_json")
@@ -17,8 +20,12 @@ def logical_name(c: str | Column) -> Column:
 
 
 def expression_key(c: str | Column) -> Column:
-    """An expression without white space, in lower case."""
-    return F.lower(F.regexp_replace(c, r"\s+", ""))
+    """An expression without white space and in lower case outside quotes; quoted parts keep both, but for the case of dotted names."""
+    parts = F.split(c, '"')
+    near = lambda i: F.concat(F.coalesce(F.get(parts, i - 1), F.lit("")), F.lit("\x01"), F.coalesce(F.get(parts, i + 1), F.lit("")))
+    dotted = lambda i: near(i).rlike(r"\.\s*\x01|\x01\s*\.")
+    one = lambda x, i: F.when(i % 2 == 0, F.lower(F.regexp_replace(x, r"\s+", ""))).when(dotted(i), F.lower(x)).otherwise(x)
+    return F.array_join(F.transform(parts, one), '"')
 
 
 def _part(name: str) -> Column:
@@ -48,11 +55,11 @@ def dedupe(rows: DataFrame, order: str = "pos") -> DataFrame:
 
 
 def rules(rows: DataFrame, order: str = "pos") -> DataFrame:
-    """One row for each rule: rule_id by first occurrence, and its sorted effective dates. Rules are metadata, numbered in one window."""
+    """One row for each rule: rule_id by first occurrence, and its sorted effective dates."""
     keyed, keys = _keyed(rows, RULE)
     each = keyed.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), order).alias("r"), F.min(order).alias("first"), F.array_join(F.array_sort(F.collect_set(F.date_format(KEY[2], "yyyy-MM-dd"))), ", ").alias("effective_dates"))
-    number = F.row_number().over(Window.orderBy("first"))
-    return each.select(F.format_string("BR-%03d", number).alias("rule_id"), "first", "effective_dates", "r.*")
+    each = numbered(each, ["first", *keys], "_number")
+    return each.select(F.format_string("BR-%03d", "_number").alias("rule_id"), "first", "effective_dates", "r.*")
 
 
 def duplicates(rows: DataFrame) -> DataFrame:
@@ -79,27 +86,11 @@ def inferred_type(name: str | Column) -> Column:
     return F.when(n.rlike("date|dt|_at"), "datetime").when(n.rlike("flag|flg|ind|check|reason"), "string").otherwise("number")
 
 
-#: What a write's text says of its role; the first that fits.
-ROLES = (
-    (r"(?i)(?:^|\n)\s*EXCEPTION\b", "EXCEPTION_HANDLER"),
-    (r"(?is)(?=.*MERGE INTO)(?=.*USING \()(?=.*\bCASE\b)", "MERGE_USING_CASE_VALUE"),
-    (r"(?is)(?=.*MERGE INTO)(?=.*USING \()", "MERGE_USING"),
-    (r"(?i)^MERGE", "MERGE"),
-    (r"(?is)^UPDATE.*\bSET\b.*=\s*0\b", "INITIAL_RESET"),
-    (r"(?is)^UPDATE.*\bSET\b.*=\s*NULL\b", "NULL_RESET"),
-    (r"(?is)^UPDATE.*WHERE", "SEQUENTIAL_FIXUP"),
-    (r"(?i)^UPDATE", "UPDATE"),
-    (r"(?i)\bCASE\b", "CASE_VALUE_SELECTION"),
-)
-
-
 def role(sql: str | Column) -> Column:
-    """The role of an assignment in its procedure."""
-    c = F.col(sql) if isinstance(sql, str) else sql
-    out = None
-    for pattern, name in ROLES:
-        out = (F if out is None else out).when(c.rlike(pattern), name)
-    return out.otherwise("SEQUENTIAL_ASSIGNMENT")
+    """The role of an assignment in its procedure; statements are metadata, so they are read one by one."""
+    from ..plans import sites
+
+    return each(lambda x: sites.role(x or ""))(sql)
 
 
 def aggregates(sql: str | Column) -> Column:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..functions.arrow import each
+from ..functions.lint import grammar
 
 #: Size limit, file ending, phrases that SQL files don't hold.
 MAX_BYTES = 10 * 1024 * 1024
@@ -53,12 +56,16 @@ def output_errors() -> Column:
     )
 
 
-@F.udf(T.ArrayType(T.StringType()))
-def grammar_errors(text):
-    """The grammar's findings on a formula; dictionaries are metadata, so a row at a time will do."""
-    from ..functions.lint import grammar
+def grammar_errors(text: str | Column) -> Column:
+    """The grammar's findings on a formula."""
+    return each(grammar, "array<string>")(text)
+
 
-    return grammar(text)
+def unknown_words(rows: DataFrame, key: str, text: str, known: DataFrame) -> DataFrame:
+    """key and n, the number of distinct words of a text that no row of known (w) holds; one anti-join on words."""
+    words = rows.select(key, F.explode(F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), " "))).alias("w"))
+    new = words.join(known.select("w").distinct(), "w", "left_anti").groupBy(key).agg(F.count("*").alias("n"))
+    return rows.select(key).join(new, key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def invented_tokens(rows: DataFrame, tokens: str, source: str) -> DataFrame:

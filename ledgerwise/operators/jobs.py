@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from .steps import numbered
 
 
 def next_run(jobs: DataFrame) -> DataFrame:
@@ -29,6 +31,17 @@ def of_job(rows: DataFrame, job_id: str) -> DataFrame:
     return rows.where(F.col("job_id") == job_id).orderBy("row_index", "id")
 
 
+def one(rows: DataFrame, key: str, value: object) -> DataFrame:
+    """The rows with a key's value."""
+    return rows.where(F.col(key) == F.lit(value))
+
+
+def reviewed(rows: DataFrame, decisions: DataFrame, job_id: str) -> DataFrame:
+    """A job's rows that are active after review, in order, for the export."""
+    done = decided(of_job(rows, job_id), decisions).where("status = 'ACTIVE'")
+    return done.withColumn("display_derivation_expression", F.col("expression")).orderBy("row_index", "id")
+
+
 def status_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("job_id").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "PENDING_REVIEW").alias("pending"))
 
@@ -38,8 +51,8 @@ def listed(jobs: DataFrame) -> DataFrame:
 
 
 def backfilled(jobs: DataFrame) -> DataFrame:
-    """Run numbers by (created_at, job_id) where any is missing; jobs are metadata, so one window."""
-    return jobs.withColumn("run_number", F.row_number().over(Window.orderBy("created_at", "job_id")))
+    """Run numbers by (created_at, job_id)."""
+    return numbered(jobs.drop("run_number"), ["created_at", "job_id"], "run_number")
 
 
 def decided(rows: DataFrame, decisions: DataFrame) -> DataFrame:

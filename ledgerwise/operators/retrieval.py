@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 DIMENSIONS, CHUNK = 256, 800
@@ -38,6 +40,30 @@ def context(question: DataFrame, platform: DataFrame, domain: DataFrame, most: t
     return found.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("d")), lambda d: d["document"]), "\n\n").alias("context"))
 
 
+class Collection:
+    """Documents and their vectors in the shared folder; rows are added, counted, and searched."""
+
+    def __init__(self, spark, name: str, folder: str | None = None):
+        from ..sources.store import shared_dir
+
+        self.spark, self.path = spark, f"{folder or shared_dir(spark)}/ledgerwise/{name}-{uuid.uuid4().hex if folder is None else 'collection'}"
+
+    def add(self, docs: DataFrame) -> None:
+        """Rows of id and document."""
+        docs.select("id", "document").write.mode("append").parquet(f"{self.path}/documents")
+        sparse_vectors(docs, "id", "document").write.mode("append").parquet(f"{self.path}/vectors")
+
+    def count(self) -> int:
+        return self.spark.read.parquet(f"{self.path}/documents").count()
+
+    def query(self, questions: DataFrame, n: int) -> DataFrame:
+        """query_id, id, score, rank, document of the min(n, count) documents nearest to each question (id, document); those that share no word score 0."""
+        docs = self.spark.read.parquet(f"{self.path}/documents")
+        near = nearest_texts(sparse_vectors(questions, "id", "document"), self.spark.read.parquet(f"{self.path}/vectors"), n)
+        rest = questions.select(F.col("id").alias("query_id")).join(F.broadcast(docs.orderBy("id").limit(2 * n).select("id"))).join(near.select("query_id", "id"), ["query_id", "id"], "left_anti").select("query_id", "id", F.lit(0.0).alias("score"))
+        return top_k(near.select("query_id", "id", "score").unionByName(rest), "query_id", n).join(docs, "id")
+
+
 def sparse_vectors(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """id, dim, weight: word counts hashed to DIMENSIONS places, of unit length."""
     words = docs.select(F.col(id_col).alias("id"), F.explode(F.split(F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))), " ")).alias("w")).where("w <> ''")
@@ -54,12 +80,8 @@ def dense(vectors: DataFrame) -> DataFrame:
 
 
 def nearest_texts(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """query_id, id, score, rank of the k closest of sparse docs to each sparse query (id, dim, weight); a small query set against all rows."""
-    from .steps import small
-
-    q = small(queries.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "weight"))).alias("q")).select(F.col("id").alias("query_id"), F.explode("q").alias("dim", "qw")))
-    score = docs.join(q, "dim").groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 6).alias("score"))
-    return top_k(score, "query_id", k)
+    """query_id, id, score, rank of the k closest of sparse docs to each sparse query (id, dim, weight); documents that share no word with a query aren't near it."""
+    return _nearest(dense(queries), dense(docs), k, other=False, least=0.0)
 
 
 def top_k(scores: DataFrame, by: str, k: int) -> DataFrame:
@@ -69,33 +91,65 @@ def top_k(scores: DataFrame, by: str, k: int) -> DataFrame:
 
 
 def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """query_id, id, score, rank by cosine of dense arrays (id, vector), each other than itself.
+    """query_id, id, score, rank by cosine of dense arrays (id, vector), each other than itself."""
+    return _nearest(queries, vectors, k, other=True)
+
+
+#: Queries that one pass over the vectors takes, at most about: 32 MB of 256 weights.
+QUERIES = 16_384
+
 
-    Queries are a stated set; they are packed into one broadcast array if small, so every vector
-    meets them in its own task and only each task's k best are shuffled.
+def _nearest(queries: DataFrame, vectors: DataFrame, k: int, other: bool, least: float | None = None) -> DataFrame:
+    """Queries go out in blocks of about QUERIES, each a pass over all vectors; a task multiplies blocks and sends its k best of each query.
+
+    other: a query's own id is left out. least: scores must be above it.
     """
-    import heapq
+    kinds = [dict(x.dtypes)["id"] for x in (queries, vectors)]
+    blocks = -(-queries.count() // QUERIES)
+    found = None
+    for b in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()
+        part = vectors.select("id", "vector").mapInArrow(_scores(queries.sparkSession.sparkContext.broadcast(rows), k, other, least), f"query_id {kinds[0]}, id {kinds[1]}, score double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = queries.sparkSession.createDataFrame([], f"query_id {kinds[0]}, id {kinds[1]}, score double")
+    return top_k(found, "query_id", k)
 
+
+def _scores(shared, k: int, other: bool, least: float | None):
     import numpy as np
     import pyarrow as pa
 
-    rows = queries.orderBy("id").collect()  # the query set, which the caller bounds
-    ids = [r.id for r in rows]
-    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
-    q = queries.sparkSession.sparkContext.broadcast(unit(np.array([r.vector for r in rows], float).reshape(len(rows), -1)))
+    def unit(rows: list, width: int) -> np.ndarray:
+        m = np.array(rows, float).reshape(len(rows), width)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
+
+    def best(score: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The places of the k best, ties by id."""
+        near = np.flatnonzero(score >= np.partition(score, -k)[-k]) if len(score) > k else np.arange(len(score))
+        return near[np.lexsort((ids[near], -score[near]))[:k]]
 
     def run(batches):
-        best: list[list[tuple[float, int]]] = [[] for _ in ids]
+        asked = [r.id for r in shared.value]
+        q = None
+        held = [([], []) for _ in asked]
         for b in batches:
-            own = b.column(0).to_numpy(zero_copy_only=False)
-            m = unit(np.array(b.column(1).to_pylist(), float).reshape(len(own), -1))
-            score = np.round(q.value @ m.T, 6) if len(ids) and len(own) else np.zeros((len(ids), 0))
-            for i, row in enumerate(score):
-                for j in np.lexsort((own, -row))[: k + 1]:
-                    if own[j] != ids[i]:
-                        item = (row[j], -int(own[j]))
-                        heapq.heappush(best[i], item) if len(best[i]) < k else heapq.heappushpop(best[i], item)
-        out = [(ids[i], -d, float(s)) for i, x in enumerate(best) for s, d in x]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.float64())], names=["query_id", "id", "score"])
-
-    return top_k(vectors.select("id", "vector").mapInArrow(run, "query_id bigint, id bigint, score double"), "query_id", k)
+            if not len(b) or not asked:
+                continue
+            rows = b.column(1).to_pylist()
+            q = unit([r.vector for r in shared.value], len(rows[0])) if q is None else q
+            own = np.array(b.column(0).to_pylist())
+            score = np.round(q @ unit(rows, q.shape[1]).T, 6)
+            for i, s in enumerate(score):
+                keep = np.ones(len(s), bool) if least is None else s > least
+                if other:
+                    keep &= own != asked[i]
+                s, mine = np.concatenate([held[i][0], s[keep]]), np.concatenate([held[i][1], own[keep]]) if len(held[i][1]) else own[keep]
+                at = best(s, mine)
+                held[i] = (s[at], mine[at])
+        out = [(a, x, float(v)) for a, (s, ids) in zip(asked, held) for v, x in zip(s, ids.tolist() if len(ids) else [])]
+        schema = pa.schema([("query_id", pa.scalar(asked[0]).type if asked else pa.int64()), ("id", pa.scalar(out[0][1]).type if out else pa.int64()), ("score", pa.float64())])
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], f.type) for c, f in enumerate(schema)], schema=schema)
+
+    return run

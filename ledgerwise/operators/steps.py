@@ -17,6 +17,8 @@ from ..functions.syntax import Member, parse
 
 #: Rows up to which a table that was counted is sent to every executor.
 SMALL = 100_000
+#: Cells that a range join cuts the span of its probe side into, at most.
+CELLS = 1024
 
 
 def small(df: DataFrame, bound: int = SMALL) -> DataFrame:
@@ -77,20 +79,39 @@ def effective(df: DataFrame, key: int, low: str = "EffectiveFromTimeKey", high:
     return df.where((F.col(low) <= key) & (F.col(high) >= key))
 
 
-def range_join(df: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: int) -> DataFrame:
+def range_join(df: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: int | None = None) -> DataFrame:
     """df, each row with the rows of ranges that hold its integer or date `at` between low and high, or with NULLs.
 
-    Both sides are cut into cells of `width`, so it is an equi-join whatever the size of
-    ranges; a range is in as many rows as it has cells.
+    Both sides are cut into cells, so it is an equi-join whatever the size of ranges; a range is in
+    as many rows as it has cells between the least and the greatest `at`, CELLS at most.
     """
     num = lambda c: F.datediff(c, F.lit(dt.date(1970, 1, 1))) if dict([*df.dtypes, *ranges.dtypes]).get(at, "").startswith(("date", "timestamp")) else c
-    cells = ranges.withColumn("_cell", F.explode(F.sequence(F.floor(num(F.col(low)) / width), F.floor(num(F.col(high)) / width))))
+    least, most = (x if x is not None else 0 for x in df.agg(F.min(num(F.col(at))).cast("bigint"), F.max(num(F.col(at))).cast("bigint")).first())
+    width = max(width or 1, (most - least) // CELLS + 1)
+    first, last = F.floor(F.greatest(num(F.col(low)), F.lit(least)) / width), F.floor(F.least(num(F.col(high)), F.lit(most)) / width)
+    cells = ranges.where((num(F.col(low)) <= most) & (num(F.col(high)) >= least) & (F.col(low) <= F.col(high))).withColumn("_cell", F.explode(F.sequence(first, last)))
     on = (F.col("_at") == F.col("_cell")) & (F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high))
     return df.withColumn("_at", F.floor(num(F.col(at)) / width)).join(cells, on, "left").drop("_at", "_cell")
 
 
-def hierarchy(edges: DataFrame, roots: Sequence[object], child: str = "child", parent: str = "parent", depth: int = 100) -> DataFrame:
-    """The distinct members (id) of the trees under roots, roots included; one join for each level."""
+def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """df with the number of each row, from 1, in an order: ranges are sorted apart and begin after the rows of those before."""
+    from ..sources.store import stash
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    rows = stash(rows, "numbered")
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    sizes, start = sorted((r.part, r.n) for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()), {}  # one row a partition
+    total = 0
+    for p, n in sizes:
+        start[p], total = total, total + n
+    starts = F.broadcast(df.sparkSession.createDataFrame(list(start.items()), "__part bigint, __start bigint"))
+    return rows.join(starts, part == F.col("__part")).withColumn(name, F.col("__start") + place + 1).drop("__part", "__start", "__at")
+
+
+def hierarchy(edges: DataFrame, roots: Sequence[object], child: str = "child", parent: str = "parent") -> DataFrame:
+    """The distinct members (id) of the trees under roots, roots included; one join for each level until none is new, which cycles end too."""
     from ..sources.store import stash
 
     spark = edges.sparkSession
@@ -98,7 +119,7 @@ def hierarchy(edges: DataFrame, roots: Sequence[object], child: str = "child", p
     found = spark.createDataFrame([(r,) for r in roots], "id string").select(F.col("id").cast(kind)) if kind != "string" else spark.createDataFrame([(str(r),) for r in roots], "id string")
     edges, found = edges.select(F.col(child).cast(kind).alias("c"), F.col(parent).alias("p")), found.distinct()
     level = found
-    for _ in range(depth):
+    while True:
         level = stash(edges.join(level, F.col("p") == F.col("id")).select(F.col("c").alias("id")).distinct().join(found, "id", "left_anti"), "level")
         if level.isEmpty():
             break
@@ -108,7 +129,7 @@ def hierarchy(edges: DataFrame, roots: Sequence[object], child: str = "child", p
 
 def derive(df: DataFrame, target: str, text: str, parameters: Mapping[str, object] | None = None, business_date: dt.date | None = None, hierarchies: Mapping[str, DataFrame] | None = None, **scope) -> DataFrame:
     """df with a column from a formula. hierarchies: (child, parent) edges by the column tested."""
-    tree, s = parse(text), Scope(df.schema, parameters or {}, business_date, **scope)
+    tree, s = parse(text), Scope(df.schema, parameters or {}, business_date, frame=df, **scope)
     extra = []
     for n in dict.fromkeys(x for x in tree.walk() if isinstance(x, Member) and x.op.startswith("HRCHY")):
         name = n.left.parts[-1]

@@ -179,18 +179,19 @@ def aliases(sql: str) -> dict[str, str]:
     return {k: next(iter(v)) for k, v in found.items() if len(v) == 1}
 
 
-def describe(sql: str, index: int = 0) -> Statement:
-    """What a statement reads, writes, joins and tests."""
+def describe(sql: str, index: int = 0, dialect: str = "oracle") -> Statement:
+    """What a statement reads, writes, joins and tests. SELECT ... INTO writes a table in T-SQL or if its name begins with #, else variables."""
     kind, masked = classify(sql), _masked(sql)
     s = Statement(index, kind, sql)
     s.conditions = [" ".join(m[1].split())[:300] for m in re.finditer(r"(?is)\b(?:IF|ELSIF|ELSEIF|WHEN)\b(.+?)\bTHEN\b", sql)]
     if kind not in DML:
         return s
-    named = aliases(sql)
-    tables = [plain_name(t) for t, _ in re.findall(rf"(?i)\b(?:FROM|JOIN|USING)\s+({_PATH})(\s*\()?", masked)]
+    tables = [plain_name(t) for t, _ in re.findall(rf"(?i)\b(?:FROM|JOIN|USING)\s+({_PATH})(\s*\()?", re.sub(r"(?i)^(\s*DELETE\s+)FROM\b", r"\1", masked))]
     target, sets = None, {}
     if kind == "UPDATE" and (m := re.match(rf"(?is)\s*UPDATE\s+({_PATH})", sql)):
-        target = named.get(plain_name(m[1]).upper(), plain_name(m[1]))
+        target = aliases(sql[m.end() :]).get(plain_name(m[1]).upper(), plain_name(m[1]))
+        if target in tables and target != plain_name(m[1]):
+            tables.remove(target)  # the place where FROM names the target
         if a := top_find(sql, r"\bSET\b"):
             b = top_find(sql, r"\b(?:FROM|WHERE)\b", a.end())
             sets = _assigned(sql[a.end() : b.start() if b else len(sql)])
@@ -205,7 +206,7 @@ def describe(sql: str, index: int = 0) -> Statement:
         target, sets = plain_name(m[1]), {plain_name(c): "" for c in top_split((m[2] or "()")[1:-1]) if c}
     elif kind == "DELETE" and (m := re.match(rf"(?is)\s*DELETE\s+(?:FROM\s+)?({_PATH})", sql)):
         target = plain_name(m[1])
-    elif kind == "SELECT" and (a := top_find(sql, rf"\bINTO\s+{_PATH}")) and (b := top_find(sql, r"\bFROM\b", a.end())):
+    elif kind == "SELECT" and (a := top_find(sql, rf"\bINTO\s+{_PATH}")) and (b := top_find(sql, r"\bFROM\b", a.end())) and (dialect == "sqlserver" or "#" in a[0]):
         target = plain_name(re.sub(r"(?i)^INTO\s+", "", a[0]))
         first = top_find(sql, r"\bSELECT\b")
         sets = {plain_name(re.split(r"(?i)\s+AS\s+|\s+(?=\w+$)", c)[-1]): c for c in top_split(sql[first.end() : a.start()])}
@@ -216,7 +217,7 @@ def describe(sql: str, index: int = 0) -> Statement:
         s.tables_written = [target]
         s.set_columns_by_table = {target: sorted(sets)} if sets else {}
     self_read = kind in ("UPDATE", "DELETE") and any(target and plain_name(t) == target for t in tables)
-    s.tables_read = sorted({t for t in tables if t != target or self_read or kind in ("INSERT", "MERGE")} - {"DUAL", "SELECT"})
+    s.tables_read = sorted({t for t in tables if t != target or self_read or kind in ("INSERT", "MERGE")} - {"DUAL", "dual", "SELECT"})
     s.columns = sorted({plain_name(c) for c in re.findall(rf"{_NAME}\s*\.\s*({_NAME})", masked)} | set(sets))
     s.join_tables = sorted({plain_name(t) for t in re.findall(rf"(?i)\bJOIN\s+({_PATH})", masked)})
     s.join_conditions = [" ".join(m[1].split()) for m in re.finditer(r"(?is)\bJOIN\b.+?\bON\b(.+?)(?=\b(?:LEFT|RIGHT|INNER|FULL|JOIN|WHERE|GROUP|ORDER|WHEN|UNION)\b|$)", sql)]
@@ -248,7 +249,7 @@ def statements(objects: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for i, d, sql in zip(b["object_id"], b["dialect"], b["raw_sql"]):
-                found = [describe(s, k) for k, s in enumerate(split_statements(sql or "", d))]
+                found = [describe(s, k, d) for k, s in enumerate(split_statements(sql or "", d))]
                 rows += [{"object_id": i, "chunk_index": c, **asdict(s)} for c, s in zip(chunked(found), found)]
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in kind.replace("map<string,array<string>>", "m").split(", ")])
 
@@ -263,12 +264,19 @@ def chunk_rollup(found: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list("statement_index")).alias("statement_indices"), union("tables_read").alias("tables_read"), union("tables_written").alias("tables_written"), union("join_tables").alias("join_tables"),
         F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("statement_index", "conditions"))), lambda x: x["conditions"]))).alias("conditions"),
         F.coalesce(F.round(F.avg(F.when(dml, F.col("parsed_ok").cast("double"))), 3), F.lit(1.0)).alias("confidence"),
+        union(F.flatten(F.map_values(F.coalesce("set_columns_by_table", F.create_map().cast("map<string,array<string>>"))))).alias("columns_written"),
         F.bool_or(F.col("statement_type") == "CONTROL_FLOW").alias("has_control"),
     )
+    out = out.withColumn("kind", F.when(F.col("has_control"), "CONTROL_FLOW").otherwise("STATEMENT"))
     hint = lambda word, c: F.transform(c, lambda x: F.concat(F.lit(f"{word}:"), x))
     return out.withColumn("dependency_hints", F.concat(hint("read", "tables_read"), hint("write", "tables_written"), hint("join", "join_tables"), hint("condition", "conditions")))
 
 
+def relevant(chunks: DataFrame, column: str) -> DataFrame:
+    """The chunks that write a column, whatever the case of its name."""
+    return chunks.where(F.exists("columns_written", lambda c: F.upper(c) == column.upper()))
+
+
 def object_rollup(objects: DataFrame, found: DataFrame) -> DataFrame:
     """One row for each object: sorted tables and calls, confidence, dynamic SQL, unparsed and chunk counts."""
     dml = F.col("statement_type").isin(*DML)
@@ -297,11 +305,11 @@ def definitions(found: list[str]) -> dict[str, list[tuple[int, str]]]:
     return out
 
 
-def variable_chain(found: list[str], use: int, hops: int = 5) -> list[tuple[int, str]]:
-    """Definitions that statement `use` depends on, through other variables, nearest first."""
+def variable_chain(found: list[str], use: int) -> list[tuple[int, str]]:
+    """Definitions that statement `use` depends on, through other variables, nearest first; each variable is followed once."""
     defs, out, seen = definitions(found), [], set()
     todo = [(found[use], use)]
-    for _ in range(hops):
+    while todo:
         following = []
         for text, before in todo:
             for word in {w.upper() for w in re.findall(r"[A-Za-z_@]\w*", _masked(text))} & set(defs) - seen:

@@ -202,10 +202,10 @@ def m_merge_agg(spark, sf):
     return procedure.run(spark, sql, {"ord": table(spark, sf, "orders").select("o_orderkey", F.lit(0).alias("dpd_max")), "line": table(spark, sf, "lineitem")})["ord"]
 
 
-@query("SELECT c_custkey AS id, c_acctbal AS bal FROM customer WHERE c_custkey > 50 UNION ALL SELECT s_suppkey, s_acctbal FROM supplier WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = s_suppkey AND c_custkey > 50)")
+@query("SELECT c_custkey AS id, c_acctbal AS bal FROM customer UNION ALL SELECT p_partkey, p_retailprice FROM part WHERE p_partkey NOT IN (SELECT c_custkey FROM customer)")
 def m_merge_insert(spark, sf):
-    target = table(spark, sf, "customer").where("c_custkey > 50").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("bal"))
-    source = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("bal"))
+    target = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("bal"))
+    source = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("bal"))
     return steps.merge(target, source, ["id"], {}, {"id": "id", "bal": "bal"})
 
 
@@ -279,40 +279,6 @@ def p_pipeline_end_to_end(spark, sf):
 
 # --- versions, lineage, structure -----------------------------------------------------------
 
-TEXT = """CREATE OR REPLACE PROCEDURE PRO.Reset_Days(p_TIMEKEY INT) AS BEGIN
-UPDATE ACCT SET DPD = 0;
-IF p_TIMEKEY > 100 THEN UPDATE ACCT SET DPD = 1 WHERE FLG = 'Y'; ELSE UPDATE ACCT SET DPD = 2; END IF;
-IF @TIMEKEY >= 250 THEN MERGE INTO ACCT T USING (SELECT K, MAX(V) V FROM MOVES GROUP BY K) S ON (T.K = S.K) WHEN MATCHED THEN UPDATE SET T.DPD = S.V; END IF;
-CALL PRO.Mark_Status(1);
-END;
-CREATE OR REPLACE PROCEDURE PRO.Mark_Status(p_TIMEKEY INT) AS BEGIN
-UPDATE STATUS SET FLG = 'N' WHERE K IN (SELECT K FROM ACCT);
-IF p_TIMEKEY <= 250 THEN INSERT INTO HIST (K, D) SELECT K, SYSDATE FROM STATUS; END IF;
-END;
-CREATE OR REPLACE FUNCTION Band(d INT) AS BEGIN SELECT MAX(B) INTO v_B FROM BANDS; END;
-"""
-
-
-def _objects(spark):
-    return statements.split_objects(spark.createDataFrame([("p.sql", TEXT)], "file string, text string"))
-
-
-def _values(rows: list[tuple], names: str) -> str:
-    show = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else "[" + ", ".join(map(show, v)) + "]" if isinstance(v, list) else str(v)
-    return f"(VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) t({names})"
-
-
-@query(
-    f"""WITH f AS (SELECT regexp_extract_all('{TEXT.replace("'", "''")}', '(?i)CREATE(?:[^C]|C[^R]|CR[^E]|CRE[^A])+', 0) AS o),
-    o AS (SELECT unnest(range(len(o))) AS i, unnest(o) AS sql FROM f), m AS (SELECT i, unnest(regexp_extract_all(sql, '(?i)(?:[a-z_][a-z0-9_]*|@)TIMEKEY\\s*(?:>=|<=|>|<|=)\\s*[0-9]+', 0)) AS raw FROM o),
-    v AS (SELECT DISTINCT i, regexp_extract(raw, '([0-9]+)$', 1)::BIGINT AS value FROM m)
-    SELECT 'p.sql#' || i AS object_id, value, value + 1 AS representative, (DATE '2000-01-01' + value::INT) AS effective_date FROM v"""
-)
-def t_threshold_extract(spark, sf):
-    days = spark.createDataFrame([], "time_key bigint, date date")
-    return periods.periods(periods.thresholds(_objects(spark)), days).select("object_id", "value", "representative", "effective_date")
-
-
 @query("SELECT k AS value, CASE WHEN o_orderdate IS NOT NULL THEN o_orderdate::DATE ELSE DATE '2000-01-01' + k::INT END AS effective_date, o_orderdate IS NOT NULL AS is_real FROM range(0, 3000, 7) t(k) LEFT JOIN orders ON o_orderkey = k")
 def t_timekey_to_date(spark, sf):
     days = table(spark, sf, "orders").select(F.col("o_orderkey").alias("time_key"), F.col("o_orderdate").cast("date").alias("date"))
@@ -326,8 +292,10 @@ def t_prune_equivalence(spark, sf):
     return df.select("o_orderkey", formula(df, prune(text, "p_TIMEKEY", 250)).alias("pruned"), formula(df, text, {"p_TIMEKEY": 250}).alias("bound"))
 
 
-NODES = [("o1", 1, "Load", ["RAW"], ["ACCT"], ["mark"]), ("o2", 2, "Mark", ["ACCT"], ["STATUS"], []), ("o3", 3, "Report", ["STATUS"], ["OUT"], []), ("o4", 4, "Alone", ["X"], ["Y"], []), ("o5", 5, "Other", ["Z"], ["Y"], []), ("o6", 6, "Ping", ["Q"], ["P"], []), ("o7", 7, "Pong", ["P"], ["Q"], [])]
-NODE_SQL = f"WITH RECURSIVE n AS (SELECT * FROM {_values(NODES, 'object_id, pos, name, r, w, called')}), w AS (SELECT object_id, pos, lower(unnest(w)) AS t FROM n), r AS (SELECT object_id, lower(unnest(r)) AS t FROM n)"
+#: Objects of five stages in each region, the last region a cycle, the first ones with one output, and a call between regions.
+NODE_SQL = """WITH RECURSIVE n AS (SELECT 'o' || n_nationkey AS object_id, n_nationkey AS pos, n_name AS name, ['S' || (n_nationkey % 5) || '_' || (n_nationkey // 5)] AS r,
+    ['s' || (n_nationkey % 5) || '_' || CASE WHEN n_nationkey % 5 = 4 THEN (n_nationkey // 5 + 1) % 5 ELSE n_nationkey // 5 + 1 END, CASE WHEN n_nationkey IN (20, 21) THEN 'OUT' ELSE 'own' || n_nationkey END] AS w,
+    CASE WHEN n_nationkey = 2 THEN [(SELECT n_name FROM nation WHERE n_nationkey = 13)] ELSE []::VARCHAR[] END AS called FROM nation), w AS (SELECT object_id, pos, lower(unnest(w)) AS t FROM n), r AS (SELECT object_id, lower(unnest(r)) AS t FROM n)"""
 EDGE_SQL = (
     NODE_SQL
     + """, s AS (SELECT w.object_id AS src, r.object_id AS dst, 1 AS p FROM w JOIN r USING (t) WHERE w.object_id <> r.object_id UNION ALL SELECT a.object_id, b.object_id, 2 FROM (SELECT object_id, unnest(called) AS c FROM n) a JOIN n b ON lower(c) = lower(b.name) WHERE a.object_id <> b.object_id),
@@ -336,13 +304,21 @@ EDGE_SQL = (
 )
 
 
-def _nodes(spark):
-    return spark.createDataFrame([(*n, 0.9) for n in NODES], "object_id string, pos int, name string, tables_read array<string>, tables_written array<string>, called array<string>, confidence double")
+def _nodes(spark, sf):
+    n, k = table(spark, sf, "nation"), F.col("n_nationkey")
+    step = F.floor(k / 5)
+    after = F.when(k % 5 == 4, (step + 1) % 5).otherwise(step + 1)
+    callee = n.where("n_nationkey = 13").select("n_name").first().n_name
+    none = F.array().cast("array<string>")
+    return n.select(
+        F.concat(F.lit("o"), k).alias("object_id"), k.alias("pos"), F.col("n_name").alias("name"), F.array(F.concat(F.lit("S"), k % 5, F.lit("_"), step)).alias("tables_read"),
+        F.array(F.concat(F.lit("s"), k % 5, F.lit("_"), after), F.when(k.isin(20, 21), "OUT").otherwise(F.concat(F.lit("own"), k))).alias("tables_written"), F.when(k == 2, F.array(F.lit(callee))).otherwise(none).alias("called"), F.lit(0.9).alias("confidence"),
+    )
 
 
 @query(EDGE_SQL + " SELECT * FROM e")
 def l_edges(spark, sf):
-    return lineage.edges(_nodes(spark))
+    return lineage.edges(_nodes(spark, sf))
 
 
 @query(
@@ -352,7 +328,7 @@ def l_edges(spark, sf):
     SELECT chain, id AS object_id, CASE WHEN NOT cycle THEN d END AS level, CASE WHEN cycle THEN 'low' ELSE 'high' END AS confidence FROM t JOIN k USING (id) JOIN y USING (chain)"""
 )
 def l_components_order(spark, sf):
-    nodes = _nodes(spark)
+    nodes = _nodes(spark, sf)
     return lineage.orders(nodes, lineage.edges(nodes)).drop("pos")
 
 
@@ -367,25 +343,28 @@ def s_dialect_score(spark, sf):
     return table(spark, sf, "documents").groupBy(statements.dialect_of("text").alias("dialect")).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT * FROM {_values([('Reset_Days', 'MOVES', 'ACCT', 'Mark_Status'), ('Mark_Status', 'ACCT,STATUS', 'HIST,STATUS', ''), ('Band', 'BANDS', 'v_B', '')], 'name, reads, writes, calls')}")
-def s_object_rollup(spark, sf):
-    objects = _objects(spark)
-    out = statements.object_rollup(objects, statements.statements(objects))
-    join = lambda c: F.array_join(c, ",")
-    return out.select("name", join("tables_read").alias("reads"), join("tables_written").alias("writes"), join("called").alias("calls"))
-
-
-WRITES = [(1, "EXCEPTION WHEN OTHERS THEN UPDATE a SET x = 1"), (2, "MERGE INTO a USING (SELECT CASE WHEN 1=1 THEN 2 END) s"), (3, "MERGE INTO a USING (SELECT max(v) FROM t GROUP BY k) s"), (4, "UPDATE a SET x = 0"), (5, "UPDATE a SET x = NULL"), (6, "UPDATE a SET x = y WHERE z > 1"), (7, "UPDATE a SET x = y"), (8, "SELECT CASE WHEN a THEN 1 END"), (9, "SELECT sum(x), COUNT(*) FROM t GROUP BY k")]
+#: Writes of each role, as parts of Spark's concat().
+ROLE_TEXTS = (
+    "'EXCEPTION WHEN OTHERS THEN UPDATE ', c_mktsegment, ' SET x = 0'",
+    "'MERGE INTO a USING (SELECT CASE WHEN k > ', c_custkey, ' THEN 2 END AS v FROM t) s ON (a.k = s.k) WHEN MATCHED THEN UPDATE SET x = s.v'",
+    "'MERGE INTO a USING (SELECT k, max(v) AS v FROM ', c_mktsegment, ' GROUP BY k) s ON (a.k = s.k) WHEN MATCHED THEN UPDATE SET x = CASE WHEN 1 = 1 THEN s.v END'",
+    "'MERGE INTO a USING ', c_mktsegment, ' s ON (a.k = s.k) WHEN MATCHED THEN UPDATE SET x = 1'",
+    "'UPDATE a SET x = 0 WHERE k = ', c_custkey",
+    "'UPDATE ', c_mktsegment, ' SET x = NULL'",
+    "'UPDATE a SET x = y WHERE z = 0 AND k > ', c_custkey",
+    "'UPDATE a SET x = y + ', c_custkey",
+    "'SELECT CASE WHEN a THEN ', c_custkey, ' END INTO #t FROM b'",
+    "'SELECT sum(x), COUNT(*) FROM ', c_mktsegment, ' GROUP BY k'",
+    "'UPDATE a SET x = \\'CASE WHERE\\' WHERE k = ', c_custkey",
+)
 
 
 @query(
-    f"""SELECT i, CASE WHEN regexp_matches(s, '(?i)^\\s*EXCEPTION\\b') THEN 'EXCEPTION_HANDLER' WHEN s LIKE 'MERGE INTO%USING (%' AND regexp_matches(s, '(?i)\\bCASE\\b') THEN 'MERGE_USING_CASE_VALUE' WHEN s LIKE 'MERGE INTO%USING (%' THEN 'MERGE_USING'
-    WHEN regexp_matches(s, '^UPDATE.*SET.*=\\s*0\\b') THEN 'INITIAL_RESET' WHEN regexp_matches(s, '^UPDATE.*SET.*=\\s*NULL\\b') THEN 'NULL_RESET' WHEN s LIKE 'UPDATE%WHERE%' THEN 'SEQUENTIAL_FIXUP' WHEN s LIKE 'UPDATE%' THEN 'UPDATE' WHEN regexp_matches(s, '\\bCASE\\b') THEN 'CASE_VALUE_SELECTION' ELSE 'SEQUENTIAL_ASSIGNMENT' END AS role,
-    CASE WHEN s LIKE '%GROUP BY%' THEN array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(s, '(?i)\\b(MIN|MAX|SUM|COUNT|AVG|LISTAGG)\\s*\\(', 1), lambda x: upper(x)))), ',') ELSE '' END AS aggregates FROM {_values(WRITES, 'i, s')}""".replace("\\\\", "\\")
+    """SELECT c_custkey, ['EXCEPTION_HANDLER', 'MERGE_USING_CASE_VALUE', 'MERGE_USING', 'MERGE', 'INITIAL_RESET', 'NULL_RESET', 'SEQUENTIAL_FIXUP', 'UPDATE', 'CASE_VALUE_SELECTION', 'SEQUENTIAL_ASSIGNMENT', 'SEQUENTIAL_FIXUP'][(c_custkey % 11)::INT + 1] AS role, CASE c_custkey % 11 WHEN 2 THEN 'MAX' WHEN 9 THEN 'COUNT,SUM' ELSE '' END AS aggregates FROM customer"""
 )
 def d_roles(spark, sf):
-    df = spark.createDataFrame(WRITES, "i int, s string")
-    return df.select("i", dictionary.role("s").alias("role"), F.array_join(dictionary.aggregates("s"), ",").alias("aggregates"))
+    """The role and the grouped aggregates of a write for each customer."""
+    return table(spark, sf, "customer").select("c_custkey", F.get(F.array(*(F.expr(f"concat({t})") for t in ROLE_TEXTS)), (F.col("c_custkey") % len(ROLE_TEXTS)).cast("int")).alias("s")).select("c_custkey", dictionary.role("s").alias("role"), F.array_join(dictionary.aggregates("s"), ",").alias("aggregates"))
 
 
 @query(
@@ -401,13 +380,14 @@ def d_expand_jobs(spark, sf):
 
 
 @query(
-    """WITH inv AS (SELECT upper(c_mktsegment) AS c, list(DISTINCT 'T' || (c_custkey % 2)) AS q FROM customer WHERE c_custkey % 2 = 0 OR c_mktsegment = 'BUILDING' GROUP BY ALL)
-    SELECT c_custkey, CASE WHEN len(q) = 1 AND NOT list_contains(q, 'X' || (c_custkey % 3)) THEN q[1] ELSE 'X' || (c_custkey % 3) END AS qualifier FROM customer LEFT JOIN inv ON c = upper(c_mktsegment)"""
+    """WITH u AS (SELECT 'N' || c_nationkey AS c, 'T' || (c_nationkey % 2) AS q FROM customer UNION SELECT 'N' || 2 * s_nationkey, 'S' FROM supplier), inv AS (SELECT c, list(DISTINCT q) AS q FROM u GROUP BY ALL)
+    SELECT c_custkey, CASE WHEN len(q) = 1 AND NOT list_contains(q, 'X' || (c_custkey % 3)) THEN q[1] ELSE 'X' || (c_custkey % 3) END AS qualifier FROM customer LEFT JOIN inv ON c = 'N' || c_nationkey"""
 )
 def d_grounded(spark, sf):
-    c = table(spark, sf, "customer")
-    uses = c.where("c_custkey % 2 = 0 OR c_mktsegment = 'BUILDING'").select(F.concat(F.lit("T"), F.col("c_custkey") % 2).alias("qualifier"), F.col("c_mktsegment").alias("column"))
-    refs = c.select("c_custkey", F.concat(F.lit("X"), F.col("c_custkey") % 3).alias("qualifier"), F.col("c_mktsegment").alias("column"))
+    c, s = table(spark, sf, "customer"), table(spark, sf, "supplier")
+    named = lambda k: F.concat(F.lit("N"), k).alias("column")
+    uses = c.select(F.concat(F.lit("T"), F.col("c_nationkey") % 2).alias("qualifier"), named("c_nationkey")).unionByName(s.select(F.lit("S").alias("qualifier"), named(F.col("s_nationkey") * 2)))
+    refs = c.select("c_custkey", F.concat(F.lit("X"), F.col("c_custkey") % 3).alias("qualifier"), named("c_nationkey"))
     return dictionary.grounded(refs, dictionary.reference_inventory(uses)).select("c_custkey", "qualifier")
 
 
@@ -443,17 +423,22 @@ def _dictionary(df: DataFrame, entity: str, column: str, expression: str, date:
 
 
 @query(
-    """WITH o AS (SELECT upper(c_mktsegment) AS e, upper(c_name) AS c, DATE '2020-01-01' + (c_custkey % 3)::INT AS d, 'old' AS x FROM customer WHERE c_custkey < 900), n AS (SELECT upper(c_mktsegment) AS e, upper(c_name) AS c, DATE '2020-01-01' + (c_custkey % 2)::INT AS d, 'new' AS x FROM customer WHERE c_custkey > 600)
+    """WITH o AS (SELECT upper(c_mktsegment) AS e, upper(c_name) AS c, DATE '2020-01-01' + (c_custkey % 3)::INT AS d, 'old' AS x FROM customer), n AS (SELECT upper(c_mktsegment) AS e, upper(c_name) AS c, DATE '2020-01-01' + (c_custkey % 2)::INT AS d, 'new' AS x FROM customer)
     SELECT * FROM n UNION ALL SELECT * FROM o WHERE (e, c, d) NOT IN (SELECT e, c, d FROM n)"""
 )
 def e_merge_upsert(spark, sf):
     df = table(spark, sf, "customer")
-    make = lambda d, text, n: _dictionary(d, "c_mktsegment", "c_name", f"'{text}'", f"date_add(DATE'2020-01-01', CAST(c_custkey % {n} AS INT))", "c_custkey")
-    out = dictionary.upsert(make(df.where("c_custkey < 900"), "old", 3), make(df.where("c_custkey > 600"), "new", 2))
+    make = lambda text, n: _dictionary(df, "c_mktsegment", "c_name", f"'{text}'", f"date_add(DATE'2020-01-01', CAST(c_custkey % {n} AS INT))", "c_custkey")
+    out = dictionary.upsert(make("old", 3), make("new", 2))
     return out.select(F.upper("entity_name").alias("e"), F.upper("column_name").alias("c"), F.col("effective_start_date").alias("d"), F.col("display_derivation_expression").alias("x"))
 
 
-@query("SELECT min(doc_id) AS doc_id, DATE '2020-01-01' + min(doc_id % 9)::INT AS effective FROM documents GROUP BY lang, lower(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', '', 'g'))")
+#: An expression without blanks and case outside double quotes.
+KEY_SQL = """array_to_string(list_transform(string_split(text, '"'), lambda x, i: CASE WHEN i % 2 = 1 THEN lower(regexp_replace(x, '[ \\t\\n\\x0B\\f\\r]+', '', 'g'))
+    WHEN regexp_matches(coalesce(string_split(text, '"')[i - 1], ''), '\\.\\s*$') OR regexp_matches(coalesce(string_split(text, '"')[i + 1], ''), '^\\s*\\.') THEN lower(x) ELSE x END), '"')"""
+
+
+@query(f"SELECT min(doc_id) AS doc_id, DATE '2020-01-01' + min(doc_id % 9)::INT AS effective FROM documents GROUP BY lang, {KEY_SQL}")
 def e_dedupe_signature(spark, sf):
     rows = _dictionary(table(spark, sf, "documents"), "lang", "'text'", "text", "date_add(DATE'2020-01-01', CAST(doc_id % 9 AS INT))", "doc_id")
     return dictionary.dedupe(rows).select(F.col("pos").alias("doc_id"), F.col("effective_start_date").alias("effective"))
@@ -474,13 +459,6 @@ def e_duplicate_flag(spark, sf):
     return dictionary.duplicates(rows).select(F.col("pos").alias("doc_id"), "status", "confidence")
 
 
-@query(f"SELECT * FROM {_values([('ACCT', 'Mark_Status', 'DPD'), ('BANDS', 'Band', ''), ('HIST', '', 'D, K'), ('MOVES', 'Reset_Days', ''), ('STATUS', 'Mark_Status', 'FLG'), ('v_B', '', 'MAX(B)')], 'tab, readers, columns')}")
-def e_tables_pivot(spark, sf):
-    objects = _objects(spark)
-    use = dictionary.table_use(statements.statements(objects).join(objects.select("object_id", "name"), "object_id"))
-    return use.withColumnRenamed("table", "tab")
-
-
 @query("SELECT c_custkey, upper(c_mktsegment) AS e, strftime(DATE '2020-02-01' + (c_custkey % 28)::INT, '%d-%m-%Y') AS d, 'number' AS t FROM customer")
 def e_external_form(spark, sf):
     rows = _dictionary(table(spark, sf, "customer"), "c_mktsegment", "'balance'", "'x'", "date_add(DATE'2020-02-01', CAST(c_custkey % 28 AS INT))", "c_custkey")
@@ -491,27 +469,35 @@ def e_external_form(spark, sf):
 # --- guardrails -----------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, array_to_string(list_filter([CASE WHEN NOT ends_with(lower(source), '.sql') THEN 'Unsupported file type: ' || source END, CASE WHEN NOT regexp_matches(text, '\\S') THEN 'File is empty' END, CASE WHEN contains(lower(text), 'system prompt') THEN 'Suspicious content detected: ''system prompt''' END], lambda x: x IS NOT NULL), '|') AS errors FROM documents")
+@query("SELECT id, array_to_string(list_filter([CASE WHEN NOT ends_with(lower(source), '.sql') THEN 'Unsupported file type: ' || source END, CASE WHEN NOT regexp_matches(text, '\\S') THEN 'File is empty' END, CASE WHEN contains(lower(text), 'system prompt') THEN 'Suspicious content detected: ''system prompt''' END], lambda x: x IS NOT NULL), '|') AS errors FROM (SELECT 'd' || doc_id AS id, source, text FROM documents UNION ALL SELECT 'c' || conv_id || '/' || turn, CASE WHEN turn % 2 = 0 THEN 'turn.SQL' ELSE role END, text FROM conversations)")
 def g_input_guardrail(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.array_join(guards.input_errors("source", "text"), "|").alias("errors"))
+    c = table(spark, sf, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("/"), "turn").alias("id"), F.when(F.col("turn") % 2 == 0, "turn.SQL").otherwise(F.col("role")).alias("source"), "text")
+    rows = table(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "source", "text").unionByName(c)
+    return rows.select("id", F.array_join(guards.input_errors("source", "text"), "|").alias("errors"))
 
 
-@query("WITH b AS (SELECT list(DISTINCT w) AS ws FROM (SELECT unnest(string_split(lower(text), ' ')) AS w FROM benchmark)) SELECT doc_id, len(list_filter(list_distinct(string_split(lower(text), ' ')), lambda x: NOT list_contains(ws, x))) AS n FROM (SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)), b")
+@query("WITH b AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS w FROM benchmark), d AS (SELECT doc_id, unnest(list_distinct(string_split(lower(text), ' '))) AS w FROM documents) SELECT doc_id, coalesce(n, 0) AS n FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM d WHERE w NOT IN (SELECT w FROM b) GROUP BY ALL) USING (doc_id)")
 def g_invented_tokens(spark, sf):
-    """The words of toxic documents that no benchmark item holds, by an anti-join on words."""
-    words = lambda df: F.explode(F.array_distinct(F.split(F.lower(df["text"]), " "))).alias("w")
-    bench = table(spark, sf, "benchmark")
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels").where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
-    new = docs.select("doc_id", words(docs)).join(bench.select(words(bench)).distinct(), "w", "left_anti").groupBy("doc_id").agg(F.count("*").alias("n"))
-    return docs.select("doc_id").join(new, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n"))
+    """The words of each document that no benchmark item holds."""
+    bench = table(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("w"))
+    return guards.unknown_words(table(spark, sf, "documents"), "doc_id", "text", bench)
 
 
 # --- retrieval ------------------------------------------------------------------------------
 
 
-@query()
+@query(
+    """WITH t AS (SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'c' || conv_id || '/' || turn, text FROM conversations),
+    p AS (SELECT id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g')), lambda x: x <> '') AS ps FROM t),
+    f AS (SELECT id, list_reduce(list_transform(ps, lambda x: {'done': []::VARCHAR[], 'open': x}), lambda a, b: CASE WHEN length(a.open) + length(b.open) <= 800 THEN {'done': a.done, 'open': a.open || chr(10) || b.open} ELSE {'done': list_append(a.done, a.open), 'open': b.open} END) AS r FROM p WHERE len(ps) > 0),
+    c AS (SELECT id, unnest(list_append(r.done, r.open)) AS chunk, generate_subscripts(list_append(r.done, r.open), 1) - 1 AS n FROM f)
+    SELECT id, n::INT AS chunk_no, length(chunk)::INT AS n_chars, sha256(chunk) AS sha FROM c"""
+)
 def r_chunk_paragraphs(spark, sf):
-    return retrieval.chunks(table(spark, sf, "documents"), cut=r"\n", glue="\n").select("doc_id", "chunk_no", F.length("chunk").alias("n_chars"), F.sha2("chunk", 256).alias("sha"))
+    """Documents and conversation turns as chunks of lines."""
+    c = table(spark, sf, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("/"), "turn").alias("id"), "text")
+    rows = table(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text").unionByName(c)
+    return retrieval.chunks(rows, "id", cut=r"\n", glue="\n").select("id", "chunk_no", F.length("chunk").alias("n_chars"), F.sha2("chunk", 256).alias("sha"))
 
 
 VECTOR_SQL = """w AS (SELECT id, unnest(string_split(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), ' ')) AS w FROM d), c AS (SELECT id, (('0x' || substr(sha256(w), 1, 8))::BIGINT % 256)::INT AS dim, count(*) AS n FROM w WHERE w <> '' GROUP BY ALL),
@@ -524,14 +510,14 @@ def r_hash_embed(spark, sf):
 
 
 @query(
-    f"""WITH d AS (SELECT 'q' || item_id AS id, text FROM benchmark UNION ALL SELECT 'd' || conv_id || '/' || turn, text FROM conversations), {VECTOR_SQL},
+    f"""WITH d AS (SELECT 'q' || item_id AS id, text FROM benchmark UNION ALL SELECT 'd' || doc_id, text FROM documents), {VECTOR_SQL},
     s AS (SELECT a.id AS query_id, b.id, round(sum(a.weight * b.weight), 6) AS score FROM v a JOIN v b USING (dim) WHERE a.id[1] = 'q' AND b.id[1] = 'd' GROUP BY ALL)
     SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 4"""
 )
 def r_topk_text(spark, sf):
-    """Benchmark items against all conversation turns."""
+    """Benchmark items against all documents."""
     q = table(spark, sf, "benchmark").select(F.concat(F.lit("q"), "item_id").alias("id"), "text")
-    d = table(spark, sf, "conversations").select(F.concat(F.lit("d"), "conv_id", F.lit("/"), "turn").alias("id"), "text")
+    d = table(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
     return retrieval.nearest_texts(retrieval.sparse_vectors(q, "id", "text"), retrieval.sparse_vectors(d, "id", "text"), 4)
 
 
@@ -597,4 +583,4 @@ def q_patch(spark, sf):
     return jobs.patched(c, s, "c_custkey")
 
 
-from . import queries_procedures  # noqa: E402, F401  registers its own
+from . import queries_procedures, queries_texts  # noqa: E402, F401  register their own

@@ -87,7 +87,7 @@ def w_exception_block(spark, sf):
     sql = """CREATE PROCEDURE p AS v_K VARCHAR2(9); v_error VARCHAR2(4000); BEGIN
     BEGIN SELECT n_name INTO v_K FROM nat WHERE n_nationkey = -1; UPDATE cust SET flag = 'lost'; EXCEPTION WHEN NO_DATA_FOUND THEN v_K := 'none'; END;
     UPDATE cust SET flag = v_K;
-    BEGIN UPDATE cust SET flag = 'neg' WHERE bal < 0; UPDATE cust SET bal = 1 / (c_custkey - c_custkey); UPDATE cust SET flag = 'lost'; EXCEPTION WHEN ZERO_DIVIDE THEN UPDATE cust SET bal = bal + 1; WHEN OTHERS THEN UPDATE cust SET flag = 'other'; END;
+    BEGIN UPDATE cust SET flag = 'neg' WHERE bal < 0; SELECT n_name INTO v_K FROM nat; UPDATE cust SET flag = 'lost'; EXCEPTION WHEN NO_DATA_FOUND THEN UPDATE cust SET bal = 0; WHEN TOO_MANY_ROWS THEN UPDATE cust SET bal = bal + 1; WHEN OTHERS THEN UPDATE cust SET flag = 'other'; END;
     EXCEPTION WHEN OTHERS THEN v_error := SQLERRM; UPDATE cust SET flag = v_error; END;"""
     return procedure.run(spark, sql, {"cust": _customers(spark, sf), "nat": table(spark, sf, "nation")})["cust"].select("c_custkey", "flag", "bal")
 

@@ -93,7 +93,7 @@ def test_objects(spark):
     objects = statements.split_objects(files.where("text IS NOT NULL"))
     assert rows_of(objects.select("object_id", "name", "object_type", "dialect"), "object_id") == [("a.sql#0", "Calc", "PROCEDURE", "oracle"), ("a.sql#1", "G", "FUNCTION", "oracle"), ("b.sql#0", "b", "UNKNOWN", "oracle")]
     roll = {r.name: r for r in statements.object_rollup(objects, statements.statements(objects)).withColumn("e", guards.structure_errors()).collect()}
-    assert roll["Calc"].tables_written == ["Acc", "v_A"] and roll["Calc"].e == [] and roll["G"].called == ["Calc"] and "Dynamic SQL" in roll["G"].e
+    assert roll["Calc"].tables_written == ["Acc"] and roll["Calc"].e == [] and roll["G"].called == ["Calc"] and "Dynamic SQL" in roll["G"].e
     assert statements.chunk_rollup(statements.statements(objects)).where("array_contains(tables_written, 'Acc')").count() >= 4
 
 
