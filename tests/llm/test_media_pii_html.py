@@ -94,8 +94,9 @@ def test_expectation_maximisation_finds_the_bad_voter():
     rates = [0.95, 0.9, 0.85, 0.5]
     votes = np.stack([np.where(rng.random(4000) < q, truth, ~truth) for q in rates], 1) * 2 - 1
     sets, count = np.unique(votes, axis=0, return_counts=True)
-    post, found = pii.expectation_maximisation(sets, count.astype(float))
+    post, found, share = pii.expectation_maximisation(sets, count.astype(float))
     hit = found[1, :, 2]
+    assert abs(share - 0.3) < 0.05
     assert np.allclose(hit[:3], rates[:3], atol=0.06) and abs(hit[3] - 0.5) < 0.1
     lookup = {tuple(s): p > 0.5 for s, p in zip(sets, post)}
     assert np.mean([lookup[tuple(v)] == t for v, t in zip(votes, truth)]) > 0.94
@@ -116,6 +117,35 @@ def test_added_spans_and_masks(spark):
     assert pii.find(docs.limit(0), pii.fit(docs.limit(0))).count() == 0
 
 
+def test_secrets_by_features(spark):
+    """Keys that are named and assigned are found, hashes of commits, names and long words aren't."""
+    import random
+
+    r = random.Random(3)
+    hexes = lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))
+    keys = [f'text before token = "{hexes()}" and after' for _ in range(40)] + [f"export API_KEY=ghp_{hexes()[:20]}Ab{hexes()[:14]}" for _ in range(20)]
+    other = [f"see commit {hexes()} of the log" for _ in range(40)] + ["a_very_long_identifier_name_2020 here", "https://example.org/path/to/page2/index.html", "7" * 300, "1" * 40 + "a"]
+    docs = spark.createDataFrame(list(enumerate(keys + other)), "doc_id bigint, text string").repartition(2)
+    got = {x.doc_id: [s.kind for s in x.added] for x in pii.find(docs, pii.fit(docs)).collect()}
+    assert all(got[i] == ["secret"] for i in range(60))
+    assert all(got[i] == [] for i in range(60, len(keys + other)))
+
+
+def test_long_texts_repeats_and_clashes(spark):
+    """A text of thousands of spans takes time in proportion; repeated rows agree; other columns don't matter."""
+    import time
+
+    text = " ".join(f"u{i}@mail.example.com 456-555-{1000 + i}" for i in range(8000))
+    began = time.time()
+    base = pii.base_spans(text)
+    found = pii.candidates(text, base)
+    assert len(base) == len(found) == 8000 and time.time() - began < 3
+    rows = [(1, "mail a.b@mail.example.com", "x", 1), (1, "mail a.b@mail.example.com", "x", 1), (None, text, "y", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, kind string, votes int")
+    got = pii.find(docs, pii.fit(docs)).collect()
+    assert sorted(len(x.base) for x in got) == [1, 1, 8000]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar"><header><h2>Site</h2></header>
 <nav><ul><li><a href="/">Home</a></li></ul></nav><div id="cookie-notice"><p>We use cookies, as everyone does, to know you better.</p></div>
 %s
@@ -149,7 +179,25 @@ def test_html_keeps_long_lists_and_tables():
                 assert len(main_text(PAGE % f"<{tag}>{body}</{tag.split()[0]}>").split("\n")) == want, (tag, kind)
 
 
+def test_html_names_are_judged_whole():
+    """A name that holds a word of boilerplate among others doesn't lose its text; names of boilerplate do, inline ones too."""
+    long = "<p>" + "word " * 60 + "one, two, three, four.</p>"
+    text = main_text(PAGE % f"""<article><h1>Head</h1>{long}<div class="forms-of-government"><p>Kept as content, surely.</p></div><section id="comments-on-the-law"><p>Kept as well, of course.</p></section>
+        <div class="comment-list"><p>Dropped, as a reader wrote it.</p></div><p>A paragraph <span class="ad">buy this <span>now</span>, cheap</span>goes on. <span class="advanced">Fine.</span></p><div class="AdBanner-top"><p>Dropped, too.</p></div>{long}</article>""")
+    assert text.split("\n")[2:5] == ["Kept as content, surely.", "Kept as well, of course.", "A paragraph goes on. Fine."] and "Dropped" not in text and "cheap" not in text
+
+
+def test_html_deep_nesting_is_linear():
+    import time
+
+    began = time.time()
+    n = 20_000
+    assert main_text("<div>" * n + "Deep, down here." + "</div>" * n + "</p>" * n) == "Deep, down here."
+    assert time.time() - began < 5
+
+
 def test_html_query(spark):
     rows = [(1, "u", PAGE % "<article><p>Only this, once.</p></article>", "clash"), (2, None, None, "c"), (2, None, None, "c"), (None, "v", "<p>" + "many words, " * 20000 + "</p>", "c")]
     got = extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")).collect()
     assert sorted((g.page_id or 0, g.n_chars) for g in got) == [(0, 12 * 20000 - 1), (1, 16), (2, 0), (2, 0)]
+    assert extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
