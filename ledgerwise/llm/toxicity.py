@@ -5,7 +5,7 @@ and their beginnings of 4 to 8 bytes, so inflected and compound forms count too.
 the number of toxic and of clean texts that hold it is taken, a family of near copies (texts with
 one minimal shingle hash) counting as one text. With an informative Dirichlet prior, the tokens'
 shares in both, this gives log-odds. Tokens whose likelihood ratio against equal shares has a
-root beyond ``SURE``, at most ``LEXICON``, carry their log-odds; a word carries that of its
+root beyond ``SURE`` carry their log-odds, however many there are; a word carries that of its
 strongest token, and every other word costs ``DRIFT``.
 
 A linear scan (Ruzzo and Tompa, 1999) finds all maximal segments of a text. The chance of a
@@ -15,10 +15,11 @@ texts. A logistic curve of the best segment's score and evidence, and of all sig
 segments together, makes the score. The curve is fitted on one half of the labelled rows
 with words learnt from the other, so neither sees itself.
 
-Defined cases: null and empty texts have no segment and get the curve's floor; rows of labels
-with a null are left out, several labels of a doc_id count as toxic if one does; without toxic
-or without clean labels every score is the share of toxic labels; repeated rows are scored each.
-Only doc_id (to find labels) and text are read.
+Defined cases: null and empty texts have no segment and get the curve's floor; a very long text
+is scanned whole, its length entering the expected number only; rows of labels with a null are
+left out, several labels of a doc_id count as toxic if one does; without toxic or without clean
+labels every score is the share of toxic labels; repeated rows are scored each, equal texts alike;
+empty tables give empty results. Only doc_id (to find labels) and text are read.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 from ._store import stash
 from ._words import ALNUM, Words, pieces
 
-LABELS, LEXICON, SURE, DRIFT = 30_000, 4096, 4.5, 0.05
+LABELS, SURE, DRIFT = 30_000, 4.5, 0.05
 E_VALUE = 0.05
 BEGINNINGS = range(4, 9)
 
@@ -90,7 +91,7 @@ class Model:
             return [1.0, 0.0, 0.0, 0.0]
         best = self.rate * max(s for *_, s in found)
         each = [self.rate * s - log(self.k * max(n, 1)) for *_, s in found]
-        return [1.0, min(best, 20) / 10, max(-2.0, min(20, max(each))) / 10, min(60.0, sum(e for e in each if e > -log(E_VALUE))) / 20]
+        return [1.0, best / 10, max(each) / 10, sum(e for e in each if e > -log(E_VALUE)) / 20]
 
     def score(self, text: pa.Array) -> np.ndarray:
         x = np.array([self.features(n, s) for n, s in self.passages(text)]).reshape(-1, 4)
@@ -138,7 +139,7 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(sums[0]), pa.array(sums[1])], names=["h", "t", "c"])
 
 
-def _lexicon(seen: DataFrame, lexicon: int) -> Model:
+def _lexicon(seen: DataFrame) -> Model:
     """seen: toxic, weight, text. Log-odds of tokens with a Dirichlet prior of their overall shares."""
     each = seen.select("toxic", "weight", "text").mapInArrow(_presence, "h bigint, t double, c double").groupBy("h").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     each = stash(each, "words")
@@ -148,12 +149,12 @@ def _lexicon(seen: DataFrame, lexicon: int) -> Model:
 
     part = lambda y, n: F.when(F.col(y) > 0, F.col(y) * F.log(F.col(y) * (nt + nc) / (n * (F.col("t") + F.col("c"))))).otherwise(0.0)
     each = each.withColumn("z", F.sqrt(F.greatest(F.lit(0.0), 2 * (part("t", nt) + part("c", nc)))))
-    each = each.where(F.col("z") >= SURE).orderBy(F.desc("z"), "h").limit(lexicon)
+    each = each.where(F.col("z") >= SURE)
     prior = min(nt, nc) / 2
     each = each.withColumn("a", (F.col("t") + F.col("c")) * (prior / (nt + nc)))
     odds = lambda y, n: F.log((F.col(y) + F.col("a")) / (n + prior - F.col(y) - F.col("a")))
     each = each.withColumn("d", odds("t", nt) - odds("c", nc))
-    rows = each.select("h", "d", ((F.col("c") + F.col("a")) / (nc + prior)).alias("p")).collect()
+    rows = each.select("h", "d", ((F.col("c") + F.col("a")) / (nc + prior)).alias("p")).collect()  # sure words of LABELS texts at most
     rows = sorted(rows, key=lambda r: r.h % (1 << 64))
     m = Model(np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.d for r in rows]))
     p, s = np.append([r.p for r in rows], 0.0), np.append(m.scores, -DRIFT)
@@ -202,23 +203,23 @@ def _newton(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     return b
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELS, lexicon: int = LEXICON) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELS) -> Model:
     """A model of docs (doc_id, text) and labels (doc_id, toxic)."""
     spark = docs.sparkSession
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("_d")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("_d"), "_d").limit(bound)  # so it can be broadcast
     texts = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_d"))
     texts = stash(texts.select("toxic", "text").mapInArrow(_family, "toxic int, text string, family bigint"), "labelled")
-    sizes = texts.groupBy("family", "toxic").agg((1.0 / F.count("*")).alias("weight"))
+    sizes = texts.groupBy("family", "toxic").agg((1.0 / F.count("*")).alias("weight"))  # `bound` rows at most
     half = F.pmod(F.xxhash64("family", F.lit("half")), F.lit(2)).alias("half")
-    seen = stash(texts.join(sizes, ["family", "toxic"]).select("toxic", "weight", "text", half), "weighted")
+    seen = stash(texts.join(F.broadcast(sizes), ["family", "toxic"]).select("toxic", "weight", "text", half), "weighted")
     total, bad = seen.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not bad or bad == total:
         share = min(max(bad / total if total else 0.0, 1e-6), 1 - 1e-6)
         return Model(curve=np.array([log(share / (1 - share)), 0, 0, 0]))
     rows, halves = [], []
     for half in (0, 1):
-        m = _lexicon(seen.where(F.col("half") == half), lexicon)
+        m = _lexicon(seen.where(F.col("half") == half))
         other = seen.where(F.col("half") != half).select("toxic", "weight", "text")
         got = other.mapInArrow(_measured(spark.sparkContext.broadcast(m)), "toxic int, weight double, n bigint, found array<double>").collect()  # `bound` rows at most
         clean = [r for r in got if not r.toxic]
@@ -226,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELS, lexicon: int =
         m.k = (1 + sum(bool(r.found) for r in clean)) / (1 + sum(r.n for r in clean)) * exp(min(30, m.rate * low))
         halves.append(m)
         rows += [(m.features(r.n, [(0, 0, s) for s in r.found]), r.toxic, r.weight) for r in got]
-    final = _lexicon(seen, lexicon)
+    final = _lexicon(seen)
     final.k = float(np.mean([m.k for m in halves]))
     final.curve = _logistic(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float), np.array([r[2] for r in rows]))
     return final
