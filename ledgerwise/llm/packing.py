@@ -2,12 +2,14 @@
 
 Documents are encoded and only those longer than a sequence are cut. The pieces are dealt
 evenly into groups of about ``GROUP``, which are packed apart; a group wastes part of a
-sequence or two. In a group pieces go in decreasing length. N(g) is the number of open
-sequences with g tokens free; a piece of length s goes into the gap g >= s that makes the
-sum of all N(g)**2 smallest, and a new sequence is opened only where none has room.
-
-Defined cases: null text is the empty text, one end id; repeated rows are packed each; no
-rows give no result.
+sequence. In a group pieces go in decreasing length. N(g) is the number of open sequences with
+g tokens free; a piece of length s goes into the gap g >= s, or into a new sequence, so that
+the sum of all N(g)**2 becomes smallest. Once the open sequences have room for all that is left,
+a new one is opened only where none has room for the piece.
+
+Defined cases: null text is the empty text, one end id; a very long text is cut, a piece of
+full length fills a sequence; repeated rows and ties are packed each, ties of gaps into the
+smaller one; no rows give no result; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -47,20 +49,25 @@ def sum_of_squares(lengths: np.ndarray, length: int) -> tuple[np.ndarray, np.nda
     count = np.zeros(length + 1, np.int64)  # count[0] stays 0: a full sequence is no longer open
     open_: list[list[int]] = [[] for _ in range(length + 1)]
     where, place, made = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), 0
+    left, room = int(lengths.sum()), 0
     for i in np.argsort(-lengths, kind="stable").tolist():
         s = int(lengths[i])
         here = count[s:]
-        gaps = np.flatnonzero(here)
+        gaps, g = np.flatnonzero(here), length
         if len(gaps):
             change = 2 * (count[gaps] - here[gaps]) + 2
             if gaps[0] == 0:
                 change[0] = 1 - 2 * here[0]
-            g = s + int(gaps[np.argmin(change)])
-            q = open_[g].pop()
-            count[g] -= 1
-        else:
-            g, q = length, made
+            best = int(np.argmin(change))
+            if left <= room or s < length and change[best] <= 2 * count[length - s] + 1:
+                g = s + int(gaps[best])
+        if g == length:
+            q, room = made, room + length - s
             made += 1
+        else:
+            q, room = open_[g].pop(), room - s
+            count[g] -= 1
+        left -= s
         where[i], place[i] = q, length - g
         if g > s:
             open_[g - s].append(q)
