@@ -8,14 +8,16 @@ that shingle, must have room for the window around it (the length and positional
 bounds), and are then compared word by word.
 
 Two passes read the documents. The first counts benchmark shingles, the second emits
-the few positions whose shingle can be a prefix. Both test a bitmap of 2**bits bits, the
-only thing that is sent to every executor; its size doesn't depend on the benchmark.
-Everything after is an equi-join or a partial aggregation.
+the few positions whose shingle can be a prefix. Both test a bitmap, the only thing that is
+sent to every executor: it has ``SPARSE`` bits a shingle, 2**``MOST`` at most (128 MB), so with a
+very large benchmark more positions pass it, and none is lost. Everything after is an equi-join
+or a partial aggregation, and takes equal texts once.
 
 Defined cases: a null or wordless text has no words and is never contaminated; null
 item ids count as the empty string; items of no words are nothing; repeated rows give
-repeated results; equal windows of several items count for each item; an empty
-benchmark hits nothing. Other columns of the inputs are not read.
+repeated results; equal windows of several items count for each item; ties between equally
+rare shingles go to the first; a very long text is read whole, about 1 MB of words at a time or
+itself; empty tables hit nothing. Other columns of the inputs are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from ._store import stash
 from ._words import ALNUM, pieces, sequence_hash
 
-WINDOW, SHINGLE, BITS = 13, 5, 26
+WINDOW, SHINGLE, SPARSE, LEAST, MOST = 13, 5, 16, 20, 30
 #: Digests up to this many are sent to every executor (about 50 bytes each); more are joined by a shuffle.
 BROADCAST_TEXTS = 500_000
 _CHUNK = 15  # a bitmap chunk of Spark's bitmap functions has 2**15 bits
@@ -110,7 +112,7 @@ def _candidates(bitmap, sizes: list[int], window: int, bits: int):
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, bits: int | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, md5 of the text, n_words, n_hit and the sorted item ids whose windows occur."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("md5"), "text")
@@ -120,6 +122,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     sizes = sorted(r.k for r in owned.select("k").distinct().collect())  # at most `shingle` rows
     shingles = distinct.select("words", "n", "k", F.posexplode("hs").alias("off", "h"))
 
+    bits = bits or min(MOST, max(LEAST, (SPARSE * shingles.count()).bit_length()))
     bitmap = spark.sparkContext.broadcast(_bitmap(shingles, bits))
     seen = docs.select("text").mapInArrow(_count(bitmap, sizes, bits), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("seen"))
     prefix = shingles.join(seen, "h", "left").groupBy("words", "n", "k").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "off", "h")).alias("p"))
@@ -127,7 +130,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
     bitmap = spark.sparkContext.broadcast(_bitmap(prefix, bits))
     rows = stash(docs.mapInArrow(_candidates(bitmap, sizes, window, bits), "doc_id bigint, md5 string, n_words bigint, places array<struct<pos:bigint,h:bigint,k:int,at:bigint,around:string>>"), "places")
-    places = rows.where(F.size("places") > 0).select("md5", "n_words", F.inline("places"))  # equal texts have equal hits
+    once = rows.where(F.size("places") > 0).groupBy("md5").agg(F.first("n_words").alias("n_words"), F.first("places").alias("places"))  # equal texts have equal hits
+    places = stash(once, "once").select("md5", "n_words", F.inline("places"))
     start = F.col("pos") - F.col("off")
     found = (
         places.join(prefix, ["h", "k"])
@@ -138,7 +142,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     found = stash(found.distinct(), "found")
     hit = found.select("md5", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("w")).distinct().groupBy("md5").agg(F.count("*").alias("n_hit"))
     of = found.select("md5", "words").distinct().join(owned.select("words", "item"), "words").groupBy("md5").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    per = hit.join(of, "md5")
+    per = stash(hit.join(of, "md5"), "per")  # written, so that a text of very many copies is a join that Spark can split or broadcast
     return rows.join(per, "md5", "left").select("doc_id", "md5", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
