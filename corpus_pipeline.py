@@ -1,11 +1,17 @@
-"""A training corpus from documents: toxic, repeated and benchmark texts go, personal data is masked, the rest is packed."""
+"""A training corpus from documents: toxic, repeated and benchmark texts go, personal data is masked, the rest is packed.
+
+Defined cases: null and empty texts are never toxic, repeated or contaminated and end as one end
+id each; a null doc_id stays null; a doc_id that repeats on other texts stays on each; of repeated
+rows one stays; very long texts are worked on whole; empty tables give empty results; all other
+columns, whatever their names, come through unchanged until packing, but for n_chars of a masked text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerwise.llm import decontam, lm, packing, pii, setsketch, toxicity
-from ledgerwise.llm._store import stash
+from ledgerwise.llm._store import release, scratch, stash
 from ledgerwise.llm.queries import TOXIC, table
 
 
@@ -43,8 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES applied to documents, each written and read again."""
+    """STAGES applied to documents, each written and read again; what a stage needed goes when it is done."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stash(stage(spark, docs, sf_dir), name)
+        with scratch() as kept:
+            out = stash(stage(spark, docs, sf_dir), name)
+            kept.append(out)
+        release(docs)
+        docs = out
     return docs
