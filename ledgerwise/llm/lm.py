@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame, functions as F
 from ._store import release, stash
 from ._words import SPACED, mix, pieces, portions
 
-KNOWN, DISCOUNT, LANE = 1 << 18, 0.75, 256
-PORTION, GATHERED, TASK = 8 << 20, 4 << 20, 2_000_000
+KNOWN, DISCOUNT, LANE = 1 << 19, 0.75, 256
+PORTION, GATHERED, TASK = 8 << 20, 4 << 20, 1_000_000
 END = np.uint64(0x656E64206F662074)
 
 
@@ -172,11 +172,33 @@ def _orders(w: np.ndarray, first: np.ndarray, tasks: int) -> list[Grams]:
     pair, of = _distinct(key >> 32)
     u, v = two.c[two.of[pair]], two.w[pair]
     both = np.where((u >= 0) & (v >= 0), u << 31 | v, (mix(mix(u.view(np.uint64)) * _A ^ v.view(np.uint64)) | _UNSEEN).view(np.int64))
-    return [one, two, Grams(both, of, codes[key & _MASK], at, place3, False, tasks)]
+    rank = np.empty(len(both), np.int64)
+    rank[order := np.argsort(both)] = np.arange(len(both))
+    of = np.sort(rank[of] << 32 | np.arange(len(of)))  # by the contexts' codes, as in the other orders
+    moved = np.empty(len(of), np.int64)
+    moved[of & _MASK] = np.arange(len(of))
+    return [one, two, Grams(both[order], of >> 32, codes[key & _MASK][of & _MASK], at, moved[place3], False, tasks)]
+
+
+def _steps(x: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """Ascending runs as differences: the first value of each run, which begin at lead, then what each adds to the one before (modulo 2**64)."""
+    out = np.diff(x, prepend=0)
+    out[lead] = x[lead]
+    return out
+
+
+def _climbed(steps: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """What _steps() made, with the sizes of its runs."""
+    total = np.cumsum(steps)
+    lead = np.cumsum(size) - size
+    return total - np.repeat(total[lead] - steps[lead], size)
+
+
+_ONE = np.zeros(1, np.int64)
 
 
 def _asked(tasks: int):
-    """Portions to what each asks of each task: contexts, their numbers of n-grams, tokens and training counts, for the three orders."""
+    """Portions to what each asks of each task, an order apart: contexts, their numbers of n-grams, tokens and training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for portion, raw in ((p, d) for b in batches for p, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
@@ -186,11 +208,11 @@ def _asked(tasks: int):
             count = [np.bincount(g.place, train[g.where], len(g.w)).astype(np.int64) for g in orders]
             task, data = np.unique(np.concatenate([g.task for g in orders])), []
             for t in task.tolist():
-                columns = []
+                parts = []
                 for g, n in zip(orders, count):
                     own, context, size = g.dealt(t)
-                    columns += [g.c[context], size, g.w[own], n[own]]
-                data.append(_packed(*columns))
+                    parts.append(_packed(_steps(g.c[context], _ONE[: len(context)]), size, _steps(g.w[own], np.cumsum(size) - size), n[own]))
+                data.append(np.array([*map(len, parts)], "<i4").tobytes() + b"".join(parts))
             yield pa.RecordBatch.from_arrays([pa.array(task), pa.array([portion] * len(task), pa.int64()), pa.array(data, pa.binary())], names=["task", "portion", "data"])
 
     return run
@@ -199,11 +221,18 @@ def _asked(tasks: int):
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What is asked, sorted by task, to the answers: counts, and the total and number of kinds of each context; to portion -1, both for ranks as contexts of pairs."""
 
-    def answer(task: int, portion: list[int], asked: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    def order(raw: bytes, k: int) -> tuple[np.ndarray, ...]:
+        at = np.cumsum([12, *np.frombuffer(raw, "<i4", 3)])
+        c, size, w, n = _unpacked(raw[at[k] : at[k + 1]])
+        return np.cumsum(c), size, _climbed(w, size) if len(w) else w, n
+
+    def answer(task: int, portion: list[int], asked: list[bytes]) -> Iterator[pa.RecordBatch]:
         out, near = [[] for _ in portion], []
-        for k in range(3):
-            c, size, w, count = (np.concatenate([a[4 * k + j] for a in asked]) for j in range(4))
-            ends, grams = (np.cumsum([0, *(len(a[4 * k + j]) for a in asked)]) for j in (0, 2))
+        for k in range(3):  # one order at a time is unpacked
+            got = [order(a, k) for a in asked]
+            ends, grams = (np.cumsum([0, *(len(a[j]) for a in got)]) for j in (0, 2))
+            c, size, w, count = (np.concatenate(x) for x in zip(*got))
+            del got
             c, of = _distinct(c)
             _, w = _distinct(w)
             key, place = _distinct(np.repeat(of, size) << 32 | w)
@@ -229,7 +258,7 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield from answer(at, portion, asked)
                 at, portion, asked = t, [], []
             portion.append(p)
-            asked.append(_unpacked(d))
+            asked.append(d)
     if portion:
         yield from answer(at, portion, asked)
 

@@ -95,7 +95,7 @@ def test_failure_arcs_give_the_interpolated_model():
     assert np.allclose(m.scores(), want)
 
 
-@pytest.mark.parametrize("known", [1 << 18, 20])
+@pytest.mark.parametrize("known", [1 << 19, 20])
 def test_score_uses_every_pair_and_triple(spark, docs, rows, known):
     """Against a model of all n-grams in dictionaries; most are seen once, and half of the words are rare."""
     got = lm.score(docs, lm.split_of("doc_id", 7) == 2, known=known)
