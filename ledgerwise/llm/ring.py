@@ -7,10 +7,13 @@ differ by one at most, and a key moves only where a bound makes it.
 
 Keys are counted for each arc; the walk is then done once on the arcs, of which there are
 shards * points whatever the input, and its result (which ranks of which arc go where) is
-looked up by every key. Repeated rows are counted before they are dealt, so a hot key is one row.
+looked up by every key. Repeated rows are counted before they are dealt, so a hot key is one row,
+and its slots are dealt out in runs of ``RUN``. Ranks are counted in ranges of the ring, of which
+there are as many as partitions, and begin after the ranges before them in the same arc.
 
 Defined cases: null text has no bytes; null doc_ids are one key; repeated rows get slots each;
-with fewer rows than shards some shards are empty.
+equal positions are ordered by doc_id, size and checksum; with fewer rows than shards some shards
+are empty; no rows give no result; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ._store import stash
 
-SHARDS, POINTS = 24, 64
+SHARDS, POINTS, RUN = 24, 64, 100_000
 
 
 def ring(shards: int, points: int) -> tuple[list[int], list[int]]:
@@ -69,12 +72,22 @@ def assign(docs: DataFrame, shards: int = SHARDS, points: int = POINTS) -> DataF
     def arc_of(position: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(nodes, position.to_numpy()) % len(nodes))
 
-    keys = stash(keys.withColumn("position", F.xxhash64("doc_id")).withColumn("arc", arc_of("position")), "keys")
-    counted = {r.arc: r.n for r in keys.groupBy("arc").agg(F.sum("copies").alias("n")).collect()}  # shards * points rows at most
-    dealt = walk([counted.get(i, 0) for i in range(len(owners))], owners, shards)
-    dealt = F.broadcast(spark.createDataFrame(dealt, "arc int, low bigint, high bigint, shard int, slot0 bigint"))
-    order = Window.partitionBy("arc").orderBy("position", "doc_id", "size", "text_crc32")
-    ranked = keys.withColumn("rank", F.sum("copies").over(order) - F.col("copies"))
+    keys = keys.withColumn("position", F.xxhash64("doc_id")).withColumn("arc", arc_of("position"))
+    order = ["arc", "position", "doc_id", "size", "text_crc32"]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = keys.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    keys = stash(keys.withColumn("range", F.shiftright("at", 33)), "keys")  # written, so that a key keeps its range
+    counted = keys.groupBy("arc", "range").agg(F.sum("copies").alias("n")).collect()  # arcs and ranges: shards * points + partitions rows at most
+    before, arcs = [], [0] * len(owners)
+    for r in sorted(counted):
+        before.append((r.arc, r.range, arcs[r.arc]))
+        arcs[r.arc] += r.n
+    dealt = F.broadcast(spark.createDataFrame(walk(arcs, owners, shards), "arc int, low bigint, high bigint, shard int, slot0 bigint"))
+    before = F.broadcast(spark.createDataFrame(before, "arc int, range bigint, before bigint"))
+    inside = F.sum("copies").over(Window.partitionBy("arc", "range").orderBy("at"))
+    ranked = keys.withColumn("inside", inside).join(before, ["arc", "range"]).withColumn("rank", F.col("before") + F.col("inside") - F.col("copies"))
     met = ranked.join(dealt, "arc").where((F.col("rank") < F.col("high")) & (F.col("rank") + F.col("copies") > F.col("low")))
     a, b = F.greatest("rank", "low"), F.least(F.col("rank") + F.col("copies"), F.col("high"))
-    return met.select("doc_id", "size", "text_crc32", "shard", F.explode(F.sequence(a - F.col("low") + F.col("slot0"), b - 1 - F.col("low") + F.col("slot0"))).alias("slot"))
+    met = met.select("doc_id", "size", "text_crc32", "shard", (a - F.col("low") + F.col("slot0")).alias("first"), (b - F.col("low") + F.col("slot0")).alias("end"))
+    runs = met.select("*", F.explode(F.sequence("first", F.col("end") - 1, F.lit(RUN).cast("bigint"))).alias("run")).repartition("shard", "run")
+    return runs.select("doc_id", "size", "text_crc32", "shard", F.explode(F.sequence("run", F.least(F.col("run") + RUN, "end") - 1)).alias("slot"))

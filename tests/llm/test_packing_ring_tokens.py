@@ -81,22 +81,28 @@ def test_packing(spark, docs, rows, ids):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
-def test_sum_of_squares_follows_its_rule():
-    """Against a direct search for the smallest sum of squares."""
+@pytest.mark.parametrize("sizes,opens", [(range(1, 21), False), ((2, 3, 7, 11), True), (range(1, 8), True)])
+def test_sum_of_squares_follows_its_rule(sizes, opens):
+    """Against a direct search for the smallest sum of squares, opening included, while what is open has no room for the rest."""
     rng = np.random.default_rng(2)
-    lengths = rng.integers(1, 21, 300)
+    lengths = rng.choice(list(sizes), 400)
     where, place = packing.sum_of_squares(lengths, 20)
-    free, best = {}, lambda c: sum(n * n for g, n in c.items() if g)
+    free, best, left, opened = {}, lambda c: sum(n * n for g, n in c.items() if g), int(lengths.sum()), 0
     for i in np.argsort(-lengths, kind="stable"):
         s, q = int(lengths[i]), int(where[i])
         old = Counter(free.values())
         fits = {g for g in free.values() if g >= s}
         after = lambda g: best(old - Counter([g]) + Counter([g - s]))  # noqa: E731, B023
-        assert (q in free) == bool(fits)
-        if fits:
+        new = best(old + Counter([20 - s]))
+        if not fits or left > sum(free.values()) and new < min(map(after, fits)):
+            assert q not in free
+            opened += bool(fits)
+        else:
             assert after(free[q]) == min(map(after, fits))
         assert place[i] == 20 - free.get(q, 20)
         free[q] = free.get(q, 20) - s
+        left -= s
+    assert bool(opened) == opens and len(free) <= 1.04 * lengths.sum() / 20 + 1
 
 
 def test_ring(spark, docs, rows):
@@ -120,4 +126,4 @@ def test_ring_hot_key_and_movement(spark):
     ids = spark.range(4000).selectExpr("id as doc_id", "'x' as text")
     home = lambda n: {g.doc_id: g.shard for g in ring.assign(ids, n).collect()}
     a, b = home(24), home(25)
-    assert sum(a[d] != b[d] for d in a) < 0.5 * len(a)
+    assert sum(a[d] != b[d] for d in a) < 0.1 * len(a)  # a 25th of them must
