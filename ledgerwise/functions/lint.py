@@ -93,15 +93,15 @@ def dropped(tree: Node, source: str) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def check(text: str, entity: str = "", column: str = "", source: str | None = None) -> list[str]:
-    """All findings on a formula; those against a source only if one is given."""
+def check(text: str, entity: str = "", column: str = "", source: str | None = None, preserved: bool = False) -> list[str]:
+    """All findings on a formula; those against a source only if one is given. preserved: the source keeps the column's own value."""
     found = grammar(text)
     if found:
         return found
     tree = parse(repair(text))
     found = constant_conditions(tree) + same_branches(tree) + repeated_conditions(tree) + mixed_logic(tree)
     if column:
-        found += self_reference(tree, entity, column)
+        found += self_reference(tree, entity, column, preserved)
     if source is not None:
         found += invented(tree, source) + dropped(tree, source)
     return found

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -149,15 +150,39 @@ def by_entity(numbered: DataFrame) -> DataFrame:
     return numbered.withColumns({"entity_first": first, "is_technical": F.col("entity_name").rlike(TECHNICAL)}).orderBy("is_technical", "entity_first", "first")
 
 
+def summary(rules_: int, entities: int, technical: int) -> str:
+    """A line on how many rules there are."""
+    return f"{rules_} rule{'s' * (rules_ != 1)} of {entities} entit{'y' if entities == 1 else 'ies'}, {technical} of them technical."
+
+
+def first_sentence(text: str) -> str:
+    """A text up to its first full stop."""
+    return re.split(r"(?<=[.!?])\s", text.strip(), maxsplit=1)[0]
+
+
+def process_name(file: str) -> str:
+    """A file's name as the name of a process: without its folder, ending and underscores."""
+    return re.sub(r"[_\W]+", " ", re.sub(r"\.\w+$", "", file.rpartition("/")[2])).strip()
+
+
+def slug(text: str) -> str:
+    """A text as a part of a file name."""
+    return re.sub(r"[^a-z0-9]+", "-", text.lower()).strip("-")
+
+
 def report(rules_: DataFrame, uses: DataFrame, title: str) -> str:
     """A Markdown report of numbered rules and tables; metadata, so laid out on the driver."""
     from ..functions.explain import explain, laid_out
 
     cell = lambda x: str(x or "").replace("|", "\\|").replace("\n", "<br>")
-    out = [f"# {title}", "", "## Rules", ""]
-    for r in sorted(rules_.collect(), key=lambda r: r.rule_id):
-        text = r.display_derivation_expression or ""
-        out += [f"### {r.rule_id} {r.entity_name}.{r.column_name}", "", f"Effective from: {r.effective_dates}", "", explain(text), "", "```", laid_out(text) or text, "```", ""]
+    found = by_entity(rules_).collect()
+    technical = sum(r.is_technical for r in found)
+    out = [f"# {title}", "", summary(len(found), len({r.entity_name.upper() for r in found}), technical), "", "## Rules", ""]
+    for r in found:
+        text, own = r.display_derivation_expression or "", r.asDict()
+        scope = [f"Written by: {cell(', '.join(own['source_refs']))}"] if own.get("source_refs") else []
+        scope += [f"Reads: {cell(', '.join(own['source_tables']))}"] if own.get("source_tables") else []
+        out += [f"### {r.rule_id} {r.entity_name}.{r.column_name}", "", first_sentence(own.get("business_meaning") or ""), f"Effective from: {r.effective_dates}", *scope, "", explain(text), "", "```", laid_out(text) or text, "```", ""]
     out += ["## Tables", "", "| Table | Read by | Columns written |", "| --- | --- | --- |"]
     out += [f"| {cell(r.table)} | {cell(r.readers)} | {cell(r.columns)} |" for r in sorted(uses.collect(), key=lambda r: r.table)]
     return "\n".join(out) + "\n"
