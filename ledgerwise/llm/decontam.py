@@ -9,8 +9,8 @@ bounds), and are then compared word by word.
 
 Two passes read the documents. The first counts benchmark shingles, the second emits
 the few positions whose shingle can be a prefix. Both test a bitmap, the only thing that is
-sent to every executor: it has ``SPARSE`` bits a shingle, 2**``MOST`` at most (128 MB), so with a
-very large benchmark more positions pass it, and none is lost. Everything after is an equi-join
+sent to every executor: it has ``SPARSE`` bits a shingle, 2**``LEAST`` (8 MB) at least and 2**``MOST``
+(128 MB) at most, so with a very large benchmark more positions pass it, and none is lost. Everything after is an equi-join
 or a partial aggregation, and takes equal texts once.
 
 Defined cases: a null or wordless text has no words and is never contaminated; null
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from ._store import stash
 from ._words import ALNUM, pieces, sequence_hash
 
-WINDOW, SHINGLE, SPARSE, LEAST, MOST = 13, 5, 16, 20, 30
+WINDOW, SHINGLE, SPARSE, LEAST, MOST = 13, 5, 64, 26, 30
 #: Digests up to this many are sent to every executor (about 50 bytes each); more are joined by a shuffle.
 BROADCAST_TEXTS = 500_000
 _CHUNK = 15  # a bitmap chunk of Spark's bitmap functions has 2**15 bits
