@@ -7,7 +7,9 @@ inflates the IDAT chunks, and undoes all five row filters. A feature is the sign
 lowest 8 x 8 cosine-transform coefficients of the image averaged to 32 x 32, as 16 hex digits.
 
 Defined cases: null and empty text are one row of zeros; equal texts give equal bytes; repeated
-rows are stored each; a broken chunk, checksum or size raises ValueError. Other columns aren't read.
+rows are stored each; a very long text is one tall image, its body cut into chunks; ties with the
+median count as below it; no rows give no result; a broken chunk, checksum or size raises
+ValueError. Other columns aren't read.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ the file is doc_id order. Files go to the folder in ``spark.checkpoint.dir`` und
 attempt and are then renamed; a task that runs again writes the same bytes.
 
 Defined cases: a null text is the empty text, whose only token is the end id; null doc_ids come
-first; equal doc_ids are ordered by a hash of the text; no rows give no files and no result.
+first; equal doc_ids are ordered by a hash of the text, equal rows as they come, in as many files
+as it takes; a very long text is one array of its ids; no rows give no files and no result; other
+columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -166,7 +168,8 @@ def _read(folder: str, bases: dict[int, int]):
 def write_tokens(docs: DataFrame, vocabulary: str | None = None, folder: str | None = None) -> tuple[str, list[tuple[int, int, int]]]:
     """Write docs (doc_id, text) as token files; the folder, and (part, documents, ids) of each file, one for each task."""
     folder = folder or fresh(docs.sparkSession, "tokens")
-    dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"))  # equal rows may be dealt to several ranges
+    dealt = rows.repartitionByRange("doc_id", "h", "row").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     parts = dealt.mapInArrow(_write(folder, vocabulary or default_vocabulary()), "part bigint, docs bigint, ids bigint").collect()
     return folder, sorted((r.part, r.docs, r.ids) for r in parts)
 
