@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -466,3 +467,103 @@ def r_collection(spark, sf):
     c.add(table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("document")))
     question = table(spark, sf, "benchmark").orderBy("item_id").limit(1).select(F.lit("q").alias("id"), F.col("text").alias("document"))
     return spark.range(1).select(F.lit(c.count()).cast("bigint").alias("n"), F.lit(c.query(question, 3).count()).cast("bigint").alias("k"))
+
+
+# --- sources, stores, names -----------------------------------------------------------------
+
+
+@query("SELECT doc_id, sha256(text) AS sha, CASE WHEN doc_id % 3 = 0 THEN 'utf-16' ELSE 'utf-8-sig' END AS encoding FROM documents")
+def s_decode(spark, sf):
+    """Texts read back from their bytes, whose encoding isn't told."""
+    from .sources import texts
+
+    content = F.when(F.col("doc_id") % 3 == 0, F.encode("text", "UTF-16")).otherwise(F.encode("text", "UTF-8"))
+    found = table(spark, sf, "documents").select("doc_id", texts.decoded(content).alias("d"))
+    return found.select("doc_id", F.sha2("d.text", 256).alias("sha"), F.col("d.encoding").alias("encoding"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha, strftime(DATE '2020-02-01' + (doc_id % 28)::INT, '%d-%m-%Y') AS d FROM documents")
+def s_dictionary_csv(spark, sf):
+    """The dictionary's CSV written and read, with any text as an expression."""
+    from .sources import dictionary_csv, store
+
+    rows = _dictionary(table(spark, sf, "documents"), "lang", "CAST(doc_id AS STRING)", "text", "date_add(DATE'2020-02-01', CAST(doc_id % 28 AS INT))", "doc_id")
+    path = f"{store.shared_dir(spark)}/ledgerwise/csv-{uuid.uuid4().hex}"
+    dictionary_csv.write(rows, path)
+    return dictionary_csv.read(spark, path).select(F.col("column_name").cast("bigint").alias("doc_id"), F.sha2("display_derivation_expression", 256).alias("sha"), F.date_format("effective_start_date", "dd-MM-yyyy").alias("d"))
+
+
+@query("SELECT user_id::VARCHAR AS job_id, arg_max(event_type, event_id) AS status FROM events GROUP BY ALL")
+def s_store(spark, sf):
+    """Rows of a store, appended twice, and the last of each job."""
+    from .sources import store
+
+    s = store.Store(spark, f"{store.shared_dir(spark)}/ledgerwise/store-{uuid.uuid4().hex}")
+    rows = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("job_id"), F.col("event_type").alias("status"), F.col("event_id").alias("version"))
+    for part in (rows.where("version % 2 = 1"), rows.where("version % 2 = 0")):
+        s.append("jobs", part)
+    return jobs.latest(s.read("jobs"), "job_id", "version").select("job_id", "status")
+
+
+@query("SELECT p_partkey, regexp_replace(p_type, '[^A-Za-z0-9]+', ' ', 'g') AS process, trim(lower(regexp_replace(p_name, '[^A-Za-z0-9]+', '-', 'g')), '-') AS slug, p_brand || '.' AS first FROM part")
+def e_names(spark, sf):
+    """Process names, parts of file names, first sentences."""
+    file = F.concat(F.lit("in/dir/"), F.regexp_replace("p_type", r"[^A-Za-z0-9]+", "_"), F.lit(".sql"))
+    return table(spark, sf, "part").select("p_partkey", each(dictionary.process_name)(file).alias("process"), each(dictionary.slug)("p_name").alias("slug"), each(dictionary.first_sentence)(F.concat("p_brand", F.lit(". "), "p_type", F.lit(". More"))).alias("first"))
+
+
+@query("SELECT n_nationkey, 'Writes of x:' || chr(10) || '1. [INITIAL_RESET] UPDATE t SET x = 0' || chr(10) || '2. [SEQUENTIAL_FIXUP] UPDATE t SET x = ' || (n_nationkey + 1) || ' WHERE k = ' || n_regionkey || chr(10) || 'Source:' || chr(10) || n_name AS text FROM nation")
+def d_context(spark, sf):
+    """A column's writes as a numbered sequence with their roles."""
+    sql = F.concat(F.lit("UPDATE t SET x = 0; UPDATE t SET x =  "), F.col("n_nationkey") + 1, F.lit("\n WHERE k = "), "n_regionkey")
+
+    def text(script: str, source: str) -> str:
+        found = [statements.describe(s, i) for i, s in enumerate(statements.split_statements(script))]
+        return sites.context("x", sites.sites(found, "x"), source)
+
+    return table(spark, sf, "nation").select("n_nationkey", each(text)(sql, "n_name").alias("text"))
+
+
+@query("SELECT n_nationkey, 'A,B,K' || n_nationkey || ',P_KEY,SRC,T,X' AS names FROM nation")
+def d_known_names(spark, sf):
+    """Columns, parameters, tables and aliases of a statement."""
+    sql = F.concat(F.lit("UPDATE t SET x = (SELECT a.k"), "n_nationkey", F.lit(" FROM src a WHERE a.b = 1)"))
+    known = lambda s: ",".join(sorted(sites.known_names([statements.describe(s)], frozenset({"p_KEY"}))))
+    return table(spark, sf, "nation").select("n_nationkey", each(known)(sql).alias("names"))
+
+
+@query("SELECT 'q' || item_id AS query_id, trim(text) AS context FROM benchmark WHERE length(text) <= 800")
+def r_context(spark, sf):
+    """The document nearest to each question as its context; here every question is a document itself."""
+    b = table(spark, sf, "benchmark").where(F.length("text") <= 800).select(F.concat(F.lit("q"), "item_id").alias("id"), F.trim("text").alias("document"))
+    return retrieval.context(b, b, b.limit(0), (1, 1))
+
+
+_CHAIN_SQL = "WITH g AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 5 IN (0, 1) THEN 0 WHEN n_nationkey % 5 IN (2, 3) THEN 2 ELSE 4 END AS g FROM nation)"
+
+
+@query(_CHAIN_SQL + " SELECT min('o' || k) AS chain, count(*) AS n, CASE WHEN g = 4 THEN 0.6 ELSE 0.9 END::DOUBLE AS confidence, CASE WHEN g = 4 THEN 'low' ELSE 'high' END AS order_confidence FROM g GROUP BY g")
+def l_chain_models(spark, sf):
+    """One row a chain: its objects, evidence and confidence, at most 0.6 for a cycle."""
+    from .operators import lineage
+    from .queries import _nodes
+
+    nodes = _nodes(spark, sf)
+    models = lineage.chain_models(lineage.orders(nodes, lineage.edges(nodes)), nodes)
+    return models.select("chain", F.size("order").cast("bigint").alias("n"), "confidence", "order_confidence")
+
+
+@query("SELECT n_nationkey, CASE WHEN n_regionkey <> (SELECT r_regionkey FROM region WHERE r_name = 'ASIA') THEN 'outside' ELSE 'inside' END AS place FROM nation WHERE EXISTS (SELECT 1 FROM region WHERE r_name = 'ASIA')")
+def f_hierarchy_not_in(spark, sf):
+    from .operators import steps
+
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    edges = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.col("n_name").alias("child"), F.col("r_name").alias("parent"))
+    return steps.derive(n, "place", 'IF("n"."n_name" HRCHYNOTIN ["ASIA"])THEN("outside")ELSE("inside")', hierarchies={"n_name": edges}).select("n_nationkey", "place")
+
+
+@query("SELECT l_orderkey, l_quantity = (SELECT max(l_quantity) FROM lineitem) AS top, l_quantity FROM lineitem")
+def f_max_of_all(spark, sf):
+    """MAX of one argument is over all rows: one aggregate, not a window in one task."""
+    df = table(spark, sf, "lineitem")
+    return df.select("l_orderkey", (F.col("l_quantity") == formula(df, 'MAX("l"."l_quantity")')).alias("top"), "l_quantity")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Encodings in the order tried, and the least share of printable characters.
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin-1")
@@ -27,15 +27,20 @@ def decode(data: bytes) -> tuple[str | None, str | None]:
     return None, None
 
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("encoding", T.StringType())]))
-def _decoded(content: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([decode(bytes(c)) for c in content], columns=["text", "encoding"])
+def decoded(content: Column | str) -> Column:
+    """A struct of text and encoding, null where no encoding gives readable text."""
+
+    @F.pandas_udf("text string, encoding string")
+    def run(content: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None, None) if c is None else decode(bytes(c)) for c in content], columns=["text", "encoding"])
+
+    return run(content)
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """file, text, encoding of every file under path."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), _decoded("content").alias("d")).select("file", "d.text", "d.encoding")
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), decoded("content").alias("d")).select("file", "d.text", "d.encoding")
 
 
 def from_map(spark: SparkSession, files: dict[str, str]) -> DataFrame:

@@ -13,15 +13,6 @@ def test_against_sql(spark, name):
     assert compared(queries.QUERIES[name](spark, SF), duck(SF), queries.SQL[name]) == []
 
 
-def test_chunks_lose_no_text(spark):
-    docs = queries.table(spark, SF, "documents")
-    from pyspark.sql import functions as F
-
-    got = queries.r_chunk_paragraphs(spark, SF).groupBy("doc_id").agg(F.sum("n_chars").alias("n"), F.max("n_chars").alias("top"))
-    want = docs.select("doc_id", F.length(F.regexp_replace("text", r"\s", "")).alias("least"))
-    assert got.join(want, "doc_id").where("n < least").count() == 0
-
-
 def test_entry():
     import __spark_entry__ as e
 
