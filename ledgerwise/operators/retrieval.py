@@ -73,15 +73,15 @@ def sparse_vectors(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return count.select("id", "dim", (F.col("n") / norm).alias("weight"))
 
 
-def dense(vectors: DataFrame) -> DataFrame:
-    """id, vector of DIMENSIONS weights."""
-    each = vectors.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "weight"))).alias("m"))
-    return each.select("id", F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda i: F.coalesce(F.element_at("m", i.cast("int")), F.lit(0.0))).alias("vector"))
+def packed(vectors: DataFrame) -> DataFrame:
+    """id, and the dims and weights of each sparse vector as arrays."""
+    each = vectors.groupBy("id").agg(F.collect_list(F.struct("dim", "weight")).alias("v"))
+    return each.select("id", F.col("v.dim").alias("dims"), F.col("v.weight").alias("weights"))
 
 
 def nearest_texts(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """query_id, id, score, rank of the k closest of sparse docs to each sparse query (id, dim, weight); documents that share no word with a query aren't near it."""
-    return _nearest(dense(queries), dense(docs), k, other=False, least=0.0)
+    return _nearest(packed(queries), packed(docs), k, other=False, least=0.0)
 
 
 def top_k(scores: DataFrame, by: str, k: int) -> DataFrame:
@@ -108,8 +108,8 @@ def _nearest(queries: DataFrame, vectors: DataFrame, k: int, other: bool, least:
     blocks = -(-queries.count() // QUERIES)
     found = None
     for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()
-        part = vectors.select("id", "vector").mapInArrow(_scores(queries.sparkSession.sparkContext.broadcast(rows), k, other, least), f"query_id {kinds[0]}, id {kinds[1]}, score double")
+        rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()
+        part = vectors.select(queries.columns).mapInArrow(_scores(queries.sparkSession.sparkContext.broadcast(rows), k, other, least), f"query_id {kinds[0]}, id {kinds[1]}, score double")
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = queries.sparkSession.createDataFrame([], f"query_id {kinds[0]}, id {kinds[1]}, score double")
@@ -120,8 +120,16 @@ def _scores(shared, k: int, other: bool, least: float | None):
     import numpy as np
     import pyarrow as pa
 
-    def unit(rows: list, width: int) -> np.ndarray:
-        m = np.array(rows, float).reshape(len(rows), width)
+    def units(t) -> np.ndarray:
+        """The unit vectors of a table or batch: arrays of one length, or dims and weights."""
+        lists = [t.column(c) for c in range(1, t.num_columns)]
+        lists = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in lists]
+        flat = [x.flatten().to_numpy(zero_copy_only=False) for x in lists]
+        if len(lists) == 1:
+            m = flat[0].astype(float).reshape(len(t), -1) if len(t) else np.zeros((0, 0))
+        else:
+            m = np.zeros((len(t), DIMENSIONS))
+            m[np.repeat(np.arange(len(t)), np.diff(lists[0].offsets.to_numpy())), flat[0]] = flat[1]
         return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
 
     def best(score: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -130,16 +138,14 @@ def _scores(shared, k: int, other: bool, least: float | None):
         return near[np.lexsort((ids[near], -score[near]))[:k]]
 
     def run(batches):
-        asked = [r.id for r in shared.value]
-        q = None
+        asked = shared.value.column("id").to_pylist()
+        q = units(shared.value)
         held = [([], []) for _ in asked]
         for b in batches:
             if not len(b) or not asked:
                 continue
-            rows = b.column(1).to_pylist()
-            q = unit([r.vector for r in shared.value], len(rows[0])) if q is None else q
             own = np.array(b.column(0).to_pylist())
-            score = np.round(q @ unit(rows, q.shape[1]).T, 6)
+            score = np.round(q @ units(b).T, 6)
             for i, s in enumerate(score):
                 keep = np.ones(len(s), bool) if least is None else s > least
                 if other:
