@@ -80,3 +80,28 @@ def test_near_dedup_by_five_words_and_four_fifths(spark):
     rows = [(i, " ".join(w)) for i, w in enumerate((a, longer, b[:80], changed))]
     left = dict(corpus_pipeline.STAGES)["near_dedup"](spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
     assert sorted(r.doc_id for r in left.collect()) == [0, 2, 3]
+
+
+def test_null_and_repeated_ids_blanks_clashes_and_empty_tables(spark, tmp_path):
+    """Only copies go: ids that are null or repeat keep their texts, blanks stay, other columns come through."""
+    r = random.Random(2)
+    a, b, c, d = (" ".join(f"{x}{r.randint(0, 999)}" for _ in range(40)) for x in "abcd")
+    rows = [(None, a), (None, b), (5, c), (5, d), (5, d), (7, c + " end"), (None, None), (6, ""), (6, " ")]
+    kind = "doc_id bigint, text string, lang string, source string, n_chars bigint, id int, low string, comp string, md5 string"
+    tables = {"documents": ([(i, t, "en", "s", None, 1, "x", "y", "z") for i, t in rows], kind), "labels": ([], "doc_id bigint, quality int, toxic int"), "benchmark": ([], "item_id bigint, text string")}
+    for at, keep in ((tmp_path / "some", True), (tmp_path / "none", False)):
+        for name, (data, schema) in tables.items():
+            spark.createDataFrame(data if keep else [], schema).write.parquet(f"{at}/{name}.parquet")
+        docs = table(spark, str(at), "documents")
+        for name, stage in corpus_pipeline.STAGES[:4]:
+            out = stage(spark, docs, str(at))
+            assert out.columns == docs.columns, name
+            out.write.parquet(f"{at}/{name}.parquet")
+            docs = spark.read.parquet(f"{at}/{name}.parquet")
+        got = corpus_pipeline.run(spark, str(at)).collect()
+        if not keep:
+            assert got == []
+        else:
+            want = Counter([(None, a), (None, b), (5, c), (5, d), (None, None), (6, ""), (6, " ")])
+            assert Counter((x.doc_id, x.text) for x in docs.collect()) == want and {(x.id, x.low, x.md5) for x in docs.collect()} == {(1, "x", "z")}
+            assert Counter(x.doc_id for x in got if not x.piece) == Counter(i for i, _ in want.elements())
